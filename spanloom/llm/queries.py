@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import bpe, licenses, mixing, quality, sharding, topk
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_license_scan": licenses.op5_license_scan,
     "op7_mixing": mixing.op7_mixing,
+    "op8_topk": topk.op8_topk,
     "op9_sharding": sharding.op9_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_topk": topk.OP8_SQL}
