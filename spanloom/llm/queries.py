@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, quality, sharding, topk
+from . import bpe, langid, licenses, mixing, pii, quality, sharding, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_pii": pii.op2_pii,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_license_scan": licenses.op5_license_scan,
+    "op6_language": langid.op6_language,
     "op7_mixing": mixing.op7_mixing,
     "op8_topk": topk.op8_topk,
     "op9_sharding": sharding.op9_sharding,
