@@ -195,13 +195,26 @@ def _secret(value: str, key: bytes, kind: str) -> tuple[str, str]:
     return _classes(value, key, "secret"), kind
 
 
+#: Telephone numbers: with a bracketed area, in groups, in pairs, unbroken, and national.
+PHONE = r"(?<![\d+])(?:" + "|".join(
+    (
+        r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}",
+        r"\+\d{1,3}[ .-]\d(?:[ .-]\d{2}){4}",
+        r"\+\d{1,3}(?:[ .-]\d{2}){4,5}",
+        r"\+\d{1,3}[ .-]\d{1,4}[ .-]\d{3,4}[ .-]\d{3,4}",
+        r"\+\d{9,15}",
+        r"\(\d{3}\) ?\d{3}[ .-]\d{4}",
+        r"\d{3}[.-]\d{3}[.-]\d{4}",
+    )
+) + r")(?!\d)"
+
 #: Kind, pattern and rewriting rule, in the order in which they are tried at a place.
 KINDS = (
     ("email", r"[^\s@<>\"'(),;:|=]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("date", r"(?<![\d.\-/])(?:\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{4})(?![\d\-/]|\.\d)", _date),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
-    ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)", _phone),
+    ("phone", PHONE, _phone),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip),
     ("number", r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{12,})(?!\d)", _number),
     ("hex", r"(?<![A-Za-z0-9])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}(?![A-Za-z0-9])", _hex),
@@ -227,15 +240,17 @@ def pseudonymize_text(text: str | None, key: bytes = KEY) -> tuple[str | None, l
     if not text or not _GATE.search(text):
         return text, []
     kinds: list[str] = []
-
-    def swap(m: re.Match) -> str:
+    out, at, search = [], 0, _pattern().search
+    where = 0
+    while m := search(text, where):
         done = _RULES[m.lastgroup](m.group(), key, m.lastgroup)
-        if done is None:
-            return m.group()
+        if done is None:  # not valid as this kind: look again from the next character on
+            where = m.start() + 1
+            continue
         kinds.append(done[1])
-        return done[0]
-
-    return _pattern().sub(swap, text), kinds
+        out += [text[at : m.start()], done[0]]
+        at = where = m.end()
+    return "".join([*out, text[at:]]), kinds
 
 
 def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
