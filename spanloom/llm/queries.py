@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, licenses, mixing, pii, quality, sharding, topk
+from . import bpe, htmltext, langid, licenses, mixing, neardup, pii, quality, sharding, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_pii": pii.op2_pii,
+    "op3_html": htmltext.op3_html,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_language": langid.op6_language,
     "op7_mixing": mixing.op7_mixing,
     "op8_topk": topk.op8_topk,
     "op9_sharding": sharding.op9_sharding,
+    "op10_jaccard_join": neardup.op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_topk": topk.OP8_SQL}
