@@ -1,4 +1,76 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality rules, near duplicates, personal data, mixing, BPE.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and
+returns the columns of ``documents``; the last one returns token ids.  Results are written as
+Parquet and read again between stages.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from spanloom.llm import bpe, mixing, neardup, pii, quality
+from spanloom.llm.common import shared_folder, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the certified cutoffs keep."""
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"), with_row=True)
+    return judged.where("kept").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of every class; of repeated rows one."""
+    classes = neardup.near_duplicates(docs)
+    stays = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    marked = docs.withColumn("__same", F.xxhash64("text"))
+    kept = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__same"]).select(*docs.columns)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms; n_chars follows the new text."""
+    hidden = pii.pseudonymize(docs)
+    return hidden.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes the block of their first word."""
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__n")).where("__n > 0")
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))
+    return joined.select(*docs.columns, times.alias("__nth")).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and a digest of what they decode to."""
+    decoded = bpe.decode(bpe.encode(docs))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", hide_personal_data),
+    ("mixing", mix_sources),
+    ("bpe", tokenize),
+]
+
+#: SQL cannot express MinHash areas, Feistel networks or BPE merges; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

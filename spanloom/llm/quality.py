@@ -84,7 +84,10 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    return out.withColumn("n_repeat_words", covered).drop("__words", "__lines", "__grams", "__starts")
+    out = out.withColumn("n_repeat_words", covered).drop("__words", "__lines", "__grams", "__starts")
+    # a filter on the counts must not be pushed below them, where it would take them again for each
+    # mention; filters do not pass a generator
+    return out.select(F.inline(F.array(F.struct(*out.columns))))
 
 
 def ratios() -> dict[str, Column]:
@@ -192,25 +195,25 @@ def judge(
     stratum: str = "lang",
     label_key: str = "doc_id",
     quality: str = "quality",
-    keep: tuple[str, ...] = (),
+    with_row: bool = False,
     **risk,
 ) -> DataFrame:
     """Verdict on every document.
 
-    Returns (key, *keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, failed_rules).  ``kept`` is false where the base rules fail or a certified cutoff is
+    Returns (key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    failed_rules), and with ``with_row`` the whole input row as the struct ``row``.  ``kept`` is false where the base rules fail or a certified cutoff is
     exceeded.  Null and empty texts have no words and fail; null strata are a stratum of their
     own; labels with a null key or quality are ignored, several labels of one key count as good
     only if all are; repeated rows are judged each; an empty table gives no rows, empty labels
     leave the base rules alone; other columns are ignored.
     """
-    own = {"__key": F.col(key), "__stratum": F.coalesce(F.col(stratum).cast("string"), F.lit(""))}
-    slim = docs.select(
-        *[c.alias(n) for n, c in own.items()], F.col(text).alias("__text"), *[F.col(c).alias(f"__keep_{c}") for c in keep]
-    )
-    measured = features(slim, "__text").drop("__text")
+    own = {"__key": F.col(key), "__stratum": F.coalesce(F.col(stratum).cast("string"), F.lit("")), "__text": F.col(text)}
+    if with_row:
+        own["__row"] = F.struct(*[F.col(c) for c in docs.columns])
+    measured = features(docs.select(*[c.alias(n) for n, c in own.items()]), "__text").drop("__text")
     numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines"]
-    narrow = checkpointed(measured) if not keep else measured
+    # with whole rows to carry, the counts are taken again for the labelled ones rather than written out
+    narrow = measured if with_row else checkpointed(measured)
     marks = (
         labels.where(F.col(label_key).isNotNull() & F.col(quality).isNotNull())
         .groupBy(F.col(label_key).alias("__label"))
@@ -230,11 +233,11 @@ def judge(
     )
     return judged.withColumn("failed", failed).select(
         F.col("__key").alias(key),
-        *[F.col(f"__keep_{c}").alias(c) for c in keep if c != key],
         *numbers[:5],
         base_failed().alias("base_failed"),
         (~base_failed() & (F.size("failed") == 0)).alias("kept"),
         F.array_join("failed", ",").alias("failed_rules"),
+        *([F.col("__row").alias("row")] if with_row else []),
     )
 
 

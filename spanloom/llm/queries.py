@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, htmltext, langid, licenses, mixing, neardup, pii, quality, sharding, topk
 
 QUERIES = {
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_sharding": sharding.op9_sharding,
     "op10_jaccard_join": neardup.op10_jaccard_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_topk": topk.OP8_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
