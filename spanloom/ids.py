@@ -14,7 +14,7 @@ MASK = 0xFFFFFFFF
 
 
 def fnv1a64(data: Column) -> Column:
-    """64-bit FNV-1a of a BINARY column, as the BIGINT of the same bits."""
+    """64-bit FNV-1a of a BINARY column, as the BIGINT of the same bits; null of null."""
     digits = F.hex(data)
     count = F.octet_length(data)
     octets = F.transform(
@@ -30,7 +30,7 @@ def fnv1a64(data: Column) -> Column:
         return F.struct(high.bitwiseAND(F.lit(MASK)).alias("hi"), product.bitwiseAND(F.lit(MASK)).alias("lo"))
 
     start = F.struct(F.lit(OFFSET >> 32).cast("long").alias("hi"), F.lit(OFFSET & MASK).cast("long").alias("lo"))
-    return F.aggregate(octets, start, step, lambda s: F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"]))
+    return F.when(data.isNotNull(), F.aggregate(octets, start, step, lambda s: F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"])))
 
 
 def numeric_id(text: Column) -> Column:
