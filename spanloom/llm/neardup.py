@@ -9,8 +9,10 @@ their shingle sets is at least 0.8.
    all pairs count the bands they share; a pair with fewer than MIN_BANDS is dropped (a pair
    at the threshold has so few with probability below 1e-6).  In a larger bucket every set is
    tied to the bucket's least one, which takes no pairs at all.
-3. Connected candidates form *areas*.  An area is cut into blocks of BLOCK sets; each pair of
-   blocks is one piece of work of bounded size, whatever the size of the area.
+3. Connected candidates form *areas*.  An area is cut into blocks of BLOCK sets, or fewer where
+   texts are long; each pair of blocks is one piece of work of bounded size, whatever the size of
+   the area.  The text of a set is fetched by hashes of one row's key and text, so a key that
+   many rows share meets its own text alone.
 4. There, pairs compare their MinHash values chunk by chunk.  With a uniform prior, m matches
    among n give the posterior P(J >= t) = P(Bin(n + 1, t) <= m); a pair is dropped as soon as it
    falls below ``tolerance``.  What is left is verified exactly on the shingle sets.
@@ -39,6 +41,8 @@ BANDS = 48
 MIN_BANDS = 5
 HOT = 32
 BLOCK = 512
+#: Shingles of a block, about: blocks of long texts hold fewer sets.
+BLOCK_SHINGLES = 1 << 21
 CHUNK = 24
 TOLERANCE = 1e-9
 SPACES = bytes([9, 10, 11, 12, 13])
@@ -252,25 +256,35 @@ def near_duplicates(
     key does; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    slim = docs.select(
+        F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2")
+    )
     key_type = slim.schema["k"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            keys, bands = [], []
+            keys, bands, sizes = [], [], []
             for t in batch["t"].to_pylist():
                 s = shingle(t)
                 keys.append(set_key(s) if len(s) else None)
                 bands.append(band_keys(signature(s)).tobytes() if len(s) else None)
+                sizes.append(len(s))
             yield pa.RecordBatch.from_arrays(
-                [batch["k"], pa.array(keys, pa.binary()), pa.array(bands, pa.binary())], names=["k", "s", "bands"]
+                [batch["k"], batch["h1"], batch["h2"], pa.array(keys, pa.binary()), pa.array(bands, pa.binary()), pa.array(sizes, pa.int64())],
+                names=["k", "h1", "h2", "s", "bands", "shingles"],
             )
 
-    sketched = checkpointed(slim.mapInArrow(sketch, f"k {key_type}, s binary, bands binary"))
-    sets = checkpointed(
-        sketched.where("s is not null").groupBy("s").agg(F.min("k").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    )
+    sketched = checkpointed(slim.mapInArrow(sketch, f"k {key_type}, h1 long, h2 long, s binary, bands binary, shingles long"))
+    sets = (
+        sketched.where("s is not null").groupBy("s")
+        .agg(
+            F.min(F.struct(F.isnull("k"), "k", "h1", "h2")).alias("row"), F.count("*").alias("copies"),
+            F.first("bands").alias("bands"), F.first("shingles").alias("shingles"),
+        )
+        .select("s", F.col("row.k").alias("least"), "row.h1", "row.h2", "copies", "bands", "shingles")
+    )
+    sets = checkpointed(sets)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,14 +307,13 @@ def near_duplicates(
     ties = shared.where((F.col("n") > HOT) & (F.col("s") != F.col("center"))).select(F.col("s").alias("a"), F.col("center").alias("b")).distinct()
     areas = components(pairs.union(ties))
 
-    sizes = areas.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    chosen = (
-        areas.join(sizes, "label")
-        .join(sets.select("s", "least", "copies"), F.col("node") == F.col("s"))
-        .select("s", "least", "copies", "label", "blocks", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"))
-    )
+    members = checkpointed(areas.join(sets, F.col("node") == F.col("s")).select("label", "s", "h1", "h2", "copies", "shingles"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("label").agg(blocks.alias("blocks"))
+    chosen = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
     work = (
-        slim.join(chosen, F.col("k").eqNullSafe(F.col("least")))
+        slim.select("h1", "h2", "t").join(chosen, ["h1", "h2"])
+        .dropDuplicates(["h1", "h2"])  # repeated rows; dealt as the join is
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "label",
@@ -319,7 +332,6 @@ def near_duplicates(
         at = None
 
         def done() -> pa.RecordBatch:
-            # rows of another text under the same key are not this set
             mine = [r for r in held if set_key(shingle(r[3])) == r[0]]
             cols = work_piece(mine, at[1] == at[2], threshold, tolerance, shingle) if mine else ([], [], [], [])
             return pa.RecordBatch.from_arrays(
