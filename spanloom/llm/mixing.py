@@ -209,3 +209,41 @@ def taken_words() -> Column:
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+#: The same mix in DuckDB: one ordered prefix sum a source, and all quotients in one list.
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents),
+s AS (
+  SELECT source, source_size, pos, CAST([{", ".join(map(str, WEIGHTS))}][pos % {len(WEIGHTS)} + 1] AS DOUBLE) AS w, CAST({REPEAT_LIMIT} * source_size AS DOUBLE) AS cap
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM d GROUP BY source)
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s
+), targets AS (
+  SELECT s.*, least(cap, w * coalesce((SELECT level FROM levels WHERE level <= cap / w ORDER BY cap / w, pos LIMIT 1), 0)) AS target FROM s
+), sized AS (
+  SELECT *, CAST(greatest(1, floor(least((SELECT sum(source_size) FROM s) / {BLOCKS}, coalesce((SELECT min(target) FROM targets WHERE target > 0), 1) / 100))) AS BIGINT) AS block FROM targets
+), quotients AS (
+  SELECT pos, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, pos, j) AS place
+  FROM (SELECT pos, target, unnest(range(CAST((SELECT sum(source_size) FROM s) // block AS BIGINT))) AS j FROM sized WHERE target > 0)
+), plan AS (
+  SELECT z.*, CAST(ceil(source_size / block) AS BIGINT) AS n_blocks, least(coalesce(won, 0), CAST(ceil(source_size / block) AS BIGINT) * {REPEAT_LIMIT}) AS quota
+  FROM sized z LEFT JOIN (SELECT q.pos, count(*) AS won FROM quotients q JOIN sized z USING (pos) WHERE place <= (SELECT sum(source_size) FROM s) // block GROUP BY q.pos) USING (pos)
+), ready AS (
+  SELECT *, greatest(n_blocks, 1) AS whole, quota // greatest(n_blocks, 1) AS passes, quota % greatest(n_blocks, 1) AS rest,
+    [{", ".join(map(str, STEPS))}][CAST('0x' || substr(md5('{SEED}:step:' || pos), 1, 13) AS BIGINT) % {len(STEPS)} + 1] % greatest(n_blocks, 1) AS step,
+    CAST('0x' || substr(md5('{SEED}:shift:' || pos), 1, 13) AS BIGINT) % greatest(n_blocks, 1) AS shift
+  FROM plan
+), placed AS (
+  SELECT d.doc_id, d.size, r.*, CAST(coalesce(sum(d.size) OVER (PARTITION BY pos ORDER BY CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || d.size), 1, 13) AS BIGINT), d.doc_id, d.size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN ready r ON d.source IS NOT DISTINCT FROM r.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE passes * size + coalesce(list_sum(list_transform(
+    list_filter(range(start // block, (start + size - 1) // block + 1), lambda b: (step * b + shift) % whole < rest),
+    lambda b: least(start + size, (b + 1) * block) - greatest(start, b * block))), 0) END AS BIGINT) AS taken,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE passes + CAST((step * (start // block) + shift) % whole < rest AS BIGINT) END AS BIGINT) AS repeats
+FROM placed
+"""

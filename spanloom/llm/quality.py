@@ -243,3 +243,46 @@ def judge(
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_RULES_SQL = {
+    "symbol_ratio": "n_symbols / greatest(n_words, 1)",
+    "upper_ratio": "n_upper / greatest(word_chars, 1)",
+    "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
+    "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+}
+_TESTS = sum(len(c) for c in GRID.values())
+#: The same verdicts in DuckDB; the binomial tail is summed up term by term.
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+grams AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM d)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM again, (VALUES (0), (1), (2)) AS t(o) GROUP BY r),
+lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}') GROUP BY r
+), f AS (
+  SELECT doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '{SYMBOLS}')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_upper, coalesce(n_lines, 0) AS n_lines
+  FROM d LEFT JOIN covered USING (r) LEFT JOIN lines USING (r)
+), observed AS (
+  SELECT f.*, good FROM f JOIN (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_lines) = 1
+), tested AS (
+  SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND v > cutoff) AS k, count(*) FILTER (NOT good AND v > cutoff) AS gain
+  FROM ({" UNION ALL ".join(f"SELECT stratum, good, '{n}' AS rule, {v} AS v FROM observed" for n, v in _RULES_SQL.items())})
+  JOIN (VALUES {", ".join(f"('{n}', CAST({c} AS DOUBLE))" for n, cs in GRID.items() for c in cs)}) AS g(rule, cutoff) USING (rule) GROUP BY ALL
+), sure AS (
+  SELECT *, gain - {GOOD_COSTS} * k AS worth FROM (SELECT *, {RISK / len(GRID)} AS p FROM tested)
+  WHERE gain > 0 AND k < n * p AND {LEVEL} / ({_TESTS} * (SELECT count(DISTINCT stratum) FROM observed))
+    >= list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))))
+), best AS (
+  SELECT * FROM sure WHERE worth > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY worth DESC, cutoff DESC) = 1
+), judged AS (
+  SELECT f.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    concat_ws(',', {", ".join(f"CASE WHEN {v} > (SELECT max(cutoff) FROM best b WHERE b.stratum = f.stratum AND rule = '{n}') THEN '{n}' END" for n, v in _RULES_SQL.items())}) AS failed_rules
+  FROM f
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM judged
+"""

@@ -20,6 +20,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_topk": topk.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality.OP4_SQL, "op7_mixing": mixing.OP7_SQL, "op8_topk": topk.OP8_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
