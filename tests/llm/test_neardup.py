@@ -76,6 +76,15 @@ def test_blocks_of_an_area(spark, monkeypatch):
     check(spark, [(i, varied(rnd, base, rnd.choice([0, 1, 2, 3]))) for i in range(90)])
 
 
+def test_one_key_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 500)
+    rnd = random.Random(11)
+    bases = [[f"w{b}x{i}" for i in range(100)] for b in range(4)]
+    rows = [(1, varied(rnd, rnd.choice(bases), rnd.choice([0, 1, 2]))) for _ in range(40)]
+    rows += [(1, " ".join(bases[0]))] * 25 + [(n, varied(rnd, bases[1], 1)) for n in range(2, 10)]
+    check(spark, rows)
+
+
 def test_awkward(spark, awkward, small):
     check(spark, [(r.doc_id, r.text) for r in awkward.collect()])
     check(spark, [(r.doc_id, r.text) for r in small.collect()])
