@@ -156,6 +156,11 @@ def materialize(hits: DataFrame, spans: DataFrame, key: Sequence[str]) -> DataFr
     return F.broadcast(hits).join(spans, list(key))
 
 
+#: Cells of the codebook, and how many of them a search opens.
+CELLS = 16
+PROBES = 12
+
+
 class InvertedFile:
     """Approximate search: vectors in cells of a sampled codebook, the nearest cells searched exactly.
 
@@ -166,7 +171,7 @@ class InvertedFile:
         self.centers = centers
 
     @classmethod
-    def fit(cls, vectors: DataFrame, vector: str = "embedding", cells: int = 16, sample: int = 4096, seed: int = 1) -> InvertedFile:
+    def fit(cls, vectors: DataFrame, vector: str = "embedding", cells: int = CELLS, sample: int = 4096, seed: int = 1) -> InvertedFile:
         rows = vectors.select(vector).where(F.col(vector).isNotNull()).orderBy(F.xxhash64(vector)).limit(sample).toArrow()
         x = np.array(rows[vector].to_pylist(), np.float64)
         rng = np.random.default_rng(seed)
@@ -186,6 +191,6 @@ class InvertedFile:
 
         return vectors.withColumn("cell", cell(F.col(vector)))
 
-    def search(self, indexed: DataFrame, query: Sequence[float], key: Sequence[str], k: int = 10, probes: int = 4, vector: str = "embedding") -> DataFrame:
+    def search(self, indexed: DataFrame, query: Sequence[float], key: Sequence[str], k: int = 10, probes: int = PROBES, vector: str = "embedding") -> DataFrame:
         order = ((self.centers - np.array(query)) ** 2).sum(1).argsort()[:probes]
         return knn(indexed, query, key, k, vector, matching=F.col("cell").isin([int(c) for c in order]))

@@ -125,11 +125,11 @@ def hybrid_search(spark, d):
 
 
 @query()
-def approximate_knn(spark, d):
-    """Cells of a sampled codebook; recall is measured in the tests."""
+def approximate_knn(spark, d, probe=PROBE):
+    """Cells of a sampled codebook; the tests measure the recall of this very query for other probes."""
     vectors = _table(spark, d, "embeddings")
     index = se.InvertedFile.fit(vectors)
-    return index.search(index.index(vectors), PROBE, ["vec_id"], 10, probes=8)
+    return index.search(index.index(vectors), probe, ["vec_id"], 10)
 
 
 _SCORED = SPANS_SQL + ", scored AS (SELECT trace_id, span_id, agent_name, CASE WHEN contains(output_text, 'refused') THEN 0 ELSE 1000 END AS eval_score FROM folded WHERE output_text IS NOT NULL) "

@@ -1,10 +1,12 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import Dictionary, dictionary_tokens, python_tokens, tokens
 from spanloom.operators import evaluate as ev, search as se
+from spanloom.plans import registry
 
 
 def test_tokens(spark):
@@ -76,6 +78,18 @@ def test_inverted_file_recall(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_registered_index_recall(spark, d):
+    """The registered query's own parameters, over all vec_id % 100 = 0."""
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").cache()
+    hit = total = 0
+    for r in vectors.where("vec_id % 100 = 0").collect():
+        want = {x.vec_id for x in se.knn(vectors, r.embedding, ["vec_id"], 10).collect()}
+        got = {x.vec_id for x in registry.QUERIES["approximate_knn"](spark, d, probe=r.embedding).collect()}
+        hit, total = hit + len(want & got), total + len(want)
+    assert hit / total >= 0.9
+
+
 def test_request_modes():
     embed = lambda t: [float(len(t))]
     assert se.request_mode({"text": "abc", "vector": [1.0]}, embed) == ("abc", [1.0])
