@@ -6,7 +6,9 @@ Tokens with equal vectors form an equivalence class; a class is *valid* when its
 one order on every page and the spans of its occurrences do not cross those of the classes
 around it.  Valid classes nest into a template whose gaps are slots.  Slots inside the page's
 article (or, without one, the slot with most varying text) are extracted; slots and tokens under
-menus, headers, footers, sidebars, notices, adverts, forms and comments are not.
+menus, headers, footers, sidebars, notices, adverts, forms and comments are not.  Inside an article
+the classes decide as well: blocks of a class that many articles of the group share are template,
+but headings are the article's own wording.
 
 A page that no template fits (too few pages of its host, or other tags) is cut up by its own
 tags in the same way.
@@ -62,6 +64,7 @@ SIDE_WORDS = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist respond replies disqus pagination pager toolbar skip".split()
 )
 KEEP_TAGS = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
@@ -303,36 +306,49 @@ def nested(pages: list[list[Token]], cut: list[list[list[Token]] | None]) -> set
     return {k for members in classes.values() for k in members}
 
 
+def shared(pages: list[list[Token]], main: list[int]) -> set[Key]:
+    """Blocks in articles that are template: their occurrence vector is above 0 for SUPPORT articles and a third of them.
+
+    Articles with the same blocks count as one; headings are left out.
+    """
+    bodies = {tuple(_key(t) for t in p if t.kind == "t" and not t.side and t.article == a) for p, a in zip(pages, main, strict=True) if a}
+    on: dict[Key, int] = defaultdict(int)
+    for body in bodies:
+        for k in set(body):
+            on[k] += 1
+    least = max(SUPPORT, len(bodies) / 3)
+    return {k for k, n in on.items() if n >= least and not any(label.split(".")[0] in HEADINGS for label in k[1])}
+
+
+def article_text(page: list[Token], article: int, template: set[Key]) -> list[str]:
+    """Blocks of an article but those of the template; all of them where the template would be half of the text, as for near copies."""
+    blocks = [t for t in page if t.kind == "t" and not t.side and t.article == article and "head" not in t.path]
+    own = [t for t in blocks if _key(t) not in template]
+    enough = 2 * sum(len(t.text) for t in own) > sum(len(t.text) for t in blocks)
+    return [t.text for t in (own if enough else blocks)]
+
+
 def extract(pages: list[list[Token]]) -> list[list[str]]:
     """The main text blocks of the pages of one group, read from the slots of its template."""
-    template = deduce(pages) if len(pages) >= SUPPORT else []
-    if not template:
-        return [own_text(p) for p in pages]
-    cut = [slots(p, template) for p in pages]
     main = [_largest(p) for p in pages]
-    # the slots that hold articles; without any article, the one with most different text
-    content: set[int] = set()
+    common = shared(pages, main)
+    template = deduce(pages) if len(pages) >= SUPPORT else []
+    cut = [slots(p, template) if template else None for p in pages]
     varied: dict[int, set[str]] = defaultdict(set)
-    for c, article in zip(cut, main, strict=True):
+    for c in cut:
         for n, blocks in enumerate(c or ()):
-            free = [t for t in blocks if not t.side]
-            if article and any(t.article == article for t in free):
-                content.add(n)
-            varied[n] |= {t.text for t in free if not t.article and "head" not in t.path}
+            varied[n] |= {t.text for t in blocks if not t.side and not t.article and "head" not in t.path}
     plain = set()
     if not all(main):
         richest = max(varied, key=lambda n: (sum(map(len, varied[n])), -n), default=-1)
         plain = nested(pages, cut)
         plain_slots = {richest}
-    fixed = set(template)
     out = []
     for page, c, article in zip(pages, cut, main, strict=True):
-        if c is None:
+        if article:
+            out.append(article_text(page, article, common))
+        elif c is None:
             out.append(own_text(page))
-        elif article:
-            # a fixed text within the article is the article's own wording, as a heading that all pages share
-            chosen = {id(t) for n in content for t in c[n]}
-            out.append([t.text for t in page if t.kind == "t" and not t.side and t.article == article and (id(t) in chosen or _key(t) in fixed)])
         else:
             out.append([t.text for n in sorted(plain_slots) for t in c[n] if not t.side and _key(t) not in plain and "head" not in t.path] or own_text(page))
     return out

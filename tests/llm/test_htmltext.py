@@ -54,3 +54,14 @@ def test_a_host_with_many_pages_is_split(spark):
     rows = [(i, "http://one.example/p", f"<nav>m</nav><article><p>text {i}</p></article>", "", "") for i in range(300)]
     got = H.main_text(spark.createDataFrame(rows, SCHEMA), group=16).collect()
     assert {r.page_id: r.text for r in got} == {i: f"text {i}" for i in range(300)}
+
+
+def test_template_inside_articles():
+    shell = "<nav>n</nav><article><h2>Story</h2><p>{0} is a text of its own</p><div class=x>Read our paper daily</div>{1}<p>{0} goes on after it</p><div class=y>Print</div><p>{0} end</p><div class=y>Print</div></article>"
+    pages = [H.tokens(shell.format(f"t{i}", "<div class=z>Also in print</div>" * (i % 2))) for i in range(8)]
+    want = [["Story", f"t{i} is a text of its own", f"t{i} goes on after it", f"t{i} end"] for i in range(8)]
+    assert H.extract(pages) == want
+    other = H.tokens("<article><p>a page that no template fits</p><div class=x>Read our paper daily</div></article>".replace("div class=x", "section").replace("/div", "/section"))
+    assert H.extract([*pages, other]) == [*want, ["a page that no template fits", "Read our paper daily"]]
+    near = [H.tokens(f"<article><h1>Edition {i}</h1><p>The same report, word for word</p></article>") for i in range(5)]
+    assert H.extract(near) == [[f"Edition {i}", "The same report, word for word"] for i in range(5)]
