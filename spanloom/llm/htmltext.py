@@ -5,7 +5,7 @@ with its path, or a block of text) has an *occurrence vector*: how often it stan
 Tokens with equal vectors form an equivalence class; a class is *valid* when its tokens come in
 one order on every page and the spans of its occurrences do not cross those of the classes
 around it.  Valid classes nest into a template whose gaps are slots.  Slots inside the page's
-article (or, without one, the slot with most varying text) are extracted; slots and tokens under
+article (or, without one, all slots whose texts vary over the pages) are extracted; slots and tokens under
 menus, headers, footers, sidebars, notices, adverts, forms and comments are not.  Inside an article
 the classes decide as well: blocks of a class that many articles of the group share are template,
 but headings are the article's own wording.
@@ -17,7 +17,7 @@ tags in the same way.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -306,6 +306,12 @@ def nested(pages: list[list[Token]], cut: list[list[list[Token]] | None]) -> set
     return {k for members in classes.values() for k in members}
 
 
+def constant(pages: list[list[Token]]) -> set[Key]:
+    """Texts of the classes with vectors (k, ..., k), on SUPPORT pages at least."""
+    counts = [Counter(_key(t) for t in p if t.kind == "t") for p in pages]
+    return {k for k, n in counts[0].items() if all(c[k] == n for c in counts)} if len(counts) >= SUPPORT else set()
+
+
 def shared(pages: list[list[Token]], main: list[int]) -> set[Key]:
     """Blocks in articles that are template: their occurrence vector is above 0 for SUPPORT articles and a third of them.
 
@@ -334,23 +340,22 @@ def extract(pages: list[list[Token]]) -> list[list[str]]:
     common = shared(pages, main)
     template = deduce(pages) if len(pages) >= SUPPORT else []
     cut = [slots(p, template) if template else None for p in pages]
-    varied: dict[int, set[str]] = defaultdict(set)
-    for c in cut:
-        for n, blocks in enumerate(c or ()):
-            varied[n] |= {t.text for t in blocks if not t.side and not t.article and "head" not in t.path}
-    plain = set()
-    if not all(main):
-        richest = max(varied, key=lambda n: (sum(map(len, varied[n])), -n), default=-1)
-        plain = nested(pages, cut)
-        plain_slots = {richest}
+    # without an article: every slot that differs between pages
+    bare = [n for n, article in enumerate(main) if not article and cut[n] is not None]
+    plain = nested(pages, cut) | constant([pages[n] for n in bare])
+
+    def free(n: int, gap: int) -> list[Token]:
+        return [t for t in cut[n][gap] if not t.side and _key(t) not in plain and "head" not in t.path]
+
+    varying = [g for g in range(len(template) + 1) if len({tuple(t.text for t in free(n, g)) for n in bare}) > 1]
     out = []
-    for page, c, article in zip(pages, cut, main, strict=True):
+    for n, (page, article) in enumerate(zip(pages, main, strict=True)):
         if article:
             out.append(article_text(page, article, common))
-        elif c is None:
+        elif cut[n] is None:
             out.append(own_text(page))
         else:
-            out.append([t.text for n in sorted(plain_slots) for t in c[n] if not t.side and _key(t) not in plain and "head" not in t.path] or own_text(page))
+            out.append([t.text for g in varying for t in free(n, g)] or own_text(page))
     return out
 
 

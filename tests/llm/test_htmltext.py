@@ -65,3 +65,10 @@ def test_template_inside_articles():
     assert H.extract([*pages, other]) == [*want, ["a page that no template fits", "Read our paper daily"]]
     near = [H.tokens(f"<article><h1>Edition {i}</h1><p>The same report, word for word</p></article>") for i in range(5)]
     assert H.extract(near) == [[f"Edition {i}", "The same report, word for word"] for i in range(5)]
+
+
+def test_every_varying_slot_without_an_article():
+    shell = "<body><div class=top>Our Site</div><div class=c><h1>Title {0}</h1><p>a {0}</p><p>b {0}</p><ul><li>item {0}</ul><p>c {0}</p><b>More</b><p>More</p><p>d {0}</p><p>More</p></div><div class=menu>m {0}</div><div class=end>All rights</div></body>"
+    pages = [H.tokens(shell.format(i)) for i in range(6)]
+    want = [[f"{x} {i}" for x in ("Title", "a", "b", "item", "c", "d")] for i in range(6)]
+    assert H.extract(pages) == want
