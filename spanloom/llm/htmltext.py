@@ -63,6 +63,7 @@ SIDE_WORDS = frozenset(
     "topbar footer sidebar aside widget cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup "
     "share sharing social related recommended recommendations comment comments commentlist respond replies disqus pagination pager toolbar skip".split()
 )
+HEADER_WORDS = frozenset({"header", "masthead"})
 KEEP_TAGS = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
@@ -85,26 +86,44 @@ class Token(NamedTuple):
     side: bool  # under something that is not the article
 
 
+#: How sure it is that an element is beside the article: only by a word of header, by a word among
+#: others or as a form, by its whole class or id, or by what it is.
+HEADER, WORD, NAMED, SURE = 1, 2, 3, 4
+
+
 @lru_cache(maxsize=4096)
-def _side(name: str, attrs: str) -> tuple[bool, bool, str]:
-    """Whether an element is beside the article, whether it is a main element by role, and its label in paths."""
+def _side(name: str, attrs: str) -> tuple[int, bool, str]:
+    """How sure it is that an element is beside the article, whether it is a main element by role, and its label in paths."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     label = name + "".join("." + c for c in sorted(found.get("class", "").lower().split())[:3])
     role = found.get("role", "").lower()
     if name in KEEP_TAGS:
         words = {w.lower() for w in _WORDS.findall(found.get("class", "") + " " + found.get("id", ""))}
-        return name == "article" and bool(words & {"comment", "comments", "related", "ad", "promo", "sponsored", "teaser"}), role == "main", label
+        beside = name == "article" and bool(words & {"comment", "comments", "related", "ad", "promo", "sponsored", "teaser"})
+        return SURE if beside else 0, role == "main", label
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    words = {w.lower() for w in _WORDS.findall(found.get("class", "") + " " + found.get("id", ""))}
-    return hidden or name in SIDE_TAGS or role in SIDE_ROLES or bool(words & SIDE_WORDS), role == "main", label
+    names = [{w.lower() for w in _WORDS.findall(n)} for n in (found.get("class", "") + " " + found.get("id", "")).split()]
+    words = SIDE_WORDS & set().union(*names)
+    if hidden or (name in SIDE_TAGS and name != "form") or (role in SIDE_ROLES and role != "form"):
+        sure = SURE
+    elif any(n and n <= SIDE_WORDS and not n <= HEADER_WORDS for n in names):
+        sure = NAMED
+    elif name == "form" or role == "form" or words - HEADER_WORDS:
+        sure = WORD
+    else:
+        sure = HEADER if words else 0
+    return sure, role == "main", label
 
 
 def tokens(html: str) -> list[Token]:
     """The tags and text blocks of a page; white space in a block is one blank, references are decoded."""
-    out: list[Token] = []
+    out: list[tuple] = []
     names: list[str] = []  # open elements
     labels: list[str] = []
-    marks: list[tuple[int, bool]] = [(0, False)]  # article number and side flag at each depth
+    # at each depth: article number, whether it is surely beside the article, and the doubtful elements around it
+    marks: list[tuple[int, bool, tuple[int, ...]]] = [(0, False, ())]
+    doubts: list[tuple[int, int]] = []  # how sure, article number around
+    holds: dict[int, set[int]] = defaultdict(set)  # articles in doubtful elements
     buffer: list[str] = []
     articles = 0
     at = 0
@@ -115,13 +134,13 @@ def tokens(html: str) -> list[Token]:
             text = " ".join(unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                out.append(Token("t", tuple(labels), text, *marks[-1]))
+                out.append(("t", tuple(labels), text, *marks[-1]))
 
     def close(depth: int) -> None:
         while len(names) > depth:
             if names[-1] in BLOCKS:
                 flush()
-                out.append(Token(">", tuple(labels), "", *marks[-1]))
+                out.append((">", tuple(labels), "", *marks[-1]))
             names.pop()
             labels.pop()
             marks.pop()
@@ -169,24 +188,64 @@ def tokens(html: str) -> list[Token]:
             flush()
         if attrs.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        article, side = marks[-1]
-        beside, main, label = _side(name, attrs)
+        article, side, around = marks[-1]
+        sure, main, label = _side(name, attrs)
         if name == "header" and not article:
-            beside = True
-        if name in ("article", "main") or main:
-            if not beside and not side and (not article or name == "article"):
+            sure = max(sure, NAMED)
+        elif sure == HEADER:  # an article's own header holds its title
+            sure = 0 if article else NAMED
+        if main and sure < SURE:
+            sure = 0
+        side |= sure == SURE
+        if 0 < sure < SURE:
+            around = (*around, len(doubts))
+            doubts.append((sure, article))
+        elif name in ("article", "main") or main:
+            if not side and (not article or name == "article"):
                 articles += 1
                 article = articles
+                for d in around:
+                    holds[d].add(article)
         names.append(name)
         labels.append(label)
-        marks.append((article, side or beside))
+        marks.append((article, side, around))
         if name in BLOCKS:
-            out.append(Token("<", tuple(labels), "", *marks[-1]))
+            out.append(("<", tuple(labels), "", *marks[-1]))
     if at < len(page):
         buffer.append(re.sub(r"<[^>]*\Z", "", page[at:]))
     flush()
     close(0)
-    return out
+    lifted = _lifted(out, doubts, holds) if doubts else frozenset()
+    return [Token(kind, path, text, article, side or not lifted.issuperset(around)) for kind, path, text, article, side, around in out]
+
+
+def _lifted(out: list[tuple], doubts: list[tuple[int, int]], holds: dict[int, set[int]]) -> frozenset[int]:
+    """Doubtful elements that are not beside the article: those around it, or around most of the text.
+
+    An element with articles is lifted if these have more text than is outside of all doubtful elements,
+    one without if it has more than half of the text around it.  Where its whole class or id says that
+    it is beside the article, there must be no other article, or without articles no other text, at all.
+    """
+    scope: dict[int, int] = defaultdict(int)  # text of an article, 0: outside of articles
+    inside: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+    free = [0, 0]  # outside of doubtful elements: without and with an article
+    for kind, path, text, article, side, around in out:
+        if kind == "t" and not side and "head" not in path:
+            scope[article] += len(text)
+            if not around:
+                free[article > 0] += len(text)
+            for d in around:
+                inside[d][article] += len(text)
+    found = set()
+    for d, (sure, article) in enumerate(doubts):
+        if holds[d]:
+            mine, rest, other = sum(inside[d][a] for a in holds[d]), sum(free), free[1]
+        else:
+            mine = inside[d][article]
+            rest = other = scope[article] - mine
+        if mine > rest and not (sure == NAMED and other):
+            found.add(d)
+    return frozenset(found)
 
 
 Key = tuple  # what a token is compared by

@@ -72,3 +72,17 @@ def test_every_varying_slot_without_an_article():
     pages = [H.tokens(shell.format(i)) for i in range(6)]
     want = [[f"{x} {i}" for x in ("Title", "a", "b", "item", "c", "d")] for i in range(6)]
     assert H.extract(pages) == want
+
+
+def test_words_and_forms_around_the_article():
+    for around in ("<div class='layout has-sidebar'>", "<div class='with-menu'>", "<section id=nav-open>", "<form id=aspnet>", "<div class=sidebar>"):
+        end = f"</{around[1:].split(' ')[0]}>"
+        page = f"<body><div class=ad>x</div>{around}<div class=sidebar>s</div><article><header class='entry-header'><h1>T</h1></header><p>Body</p><div class=comments>rude and very long</div></article>{end}<footer>f</footer>"
+        assert H.extract([H.tokens(page)]) == [["T", "Body"]], around
+    bare = "<body><form class='page with-menu'><div class=menu>m</div><h1>T {0}</h1><p>Body {0}</p><div class=comments>rude {0}</div></form><form>Your mail</form>"
+    pages = [H.tokens(bare.format(i)) for i in range(5)]
+    assert H.extract(pages) == [[f"T {i}", f"Body {i}"] for i in range(5)] and H.extract(pages[:1]) == [["T 0", "Body 0"]]
+    related = "<main><p>Short</p><div class=related><article>a teaser that is longer than the text</article></div></main>"
+    assert H.extract([H.tokens(related)]) == [["Short"]]
+    post = "<div class=post><p>The post itself</p></div><div class='all-comments'><article>me too</article></div>"
+    assert H.extract([H.tokens(post)]) == [["The post itself"]]
