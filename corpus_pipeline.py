@@ -22,11 +22,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of every class; of repeated rows one."""
-    classes = neardup.near_duplicates(docs)
-    stays = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    """One row of every class: that of least id, null ids last, and of its rows the one of least text hash."""
     marked = docs.withColumn("__same", F.xxhash64("text"))
-    kept = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # an id may have rows in several classes, so a row goes by its id and text
+    row = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("__same").alias("same"))
+    classes = neardup.near_duplicates(marked.select(row.alias("row"), "text"), key="row")
+    stays = classes.where("row = class_id").select(F.col("row.id").alias("__id"), F.col("row.same").alias("__hash")).distinct()
+    kept = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__same") == F.col("__hash")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__same"]).select(*docs.columns)
 
 
@@ -37,9 +39,12 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes the block of their first word."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("repeats").alias("__n")).where("__n > 0")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    """Rows as often as the mix takes the block of their first word; equal rows as often as all of them together."""
+    columns = [*map(F.isnull, docs.columns), *docs.columns]
+    marked = docs.withColumns({f"__h{n}": F.xxhash64(F.lit(n), *columns) for n in (1, 2)})
+    row = F.struct("__h1", "__h2").alias("row")
+    taken = mixing.mix(marked.select(row, "text", "source"), key="row").groupBy("row.__h1", "row.__h2").agg(F.sum("repeats").alias("__n"))
+    joined = marked.join(taken.where("__n > 0"), ["__h1", "__h2"]).dropDuplicates(["__h1", "__h2"])
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))
     return joined.select(*docs.columns, times.alias("__nth")).select(*docs.columns)
 

@@ -1,8 +1,11 @@
+import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 from spanloom.llm import bpe, neardup, pii, quality
 
+from .test_mixing import targets
 from .test_neardup import by_hand as links_by_hand
 from .test_quality import by_hand as counts_by_hand
 
@@ -54,3 +57,33 @@ def test_awkward(spark, awkward):
         assert stage is later[-1] or out.columns == awkward.columns
         assert len(out.collect()) > 0
         assert stage(spark, awkward.limit(0), D).count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_one_id_of_many_texts(spark):
+    """One row a class, whatever the ids of its rows."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, a + " end"), (1, "start " + a), (2, a), (1, b), (3, c), (1, c + " end"), (None, d), (None, d + " end"), (5, b + " end"), (1, b), (6, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, D).collect()
+    assert sorted((str(r.doc_id), next((x for x in "abcd" if f"{x}0" in r.text), "")) for r in got) == [("1", "a"), ("1", "b"), ("1", "c"), ("6", ""), ("None", "d")]
+
+
+def test_mix_of_one_id(spark):
+    """A source under one id meets its target, and equal rows are taken together."""
+    rnd = random.Random(5)
+    rows = [(1, " ".join(f"w{rnd.randrange(999)}" for _ in range(rnd.randint(5, 40))), "en", "a", 1) for _ in range(900)]
+    rows += [(None if i % 2 else 2, f"x{i} y z", None, "a", None) for i in range(40)] + [(3, "same text here", "en", "b", 1)] * 200
+    rows += [(i, f"t{i} " * 20, "en", "bc"[i % 2], 1) for i in range(10, 1000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sizes, got = Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    out = corpus_pipeline.mix_sources(spark, docs, D).collect()
+    for r in out:
+        got[r.source] += len(r.text.split())
+    assert out and {tuple(r) for r in out} <= set(rows)
+    for s, t in targets(sizes).items():
+        assert abs(got[s] - t) <= 0.1 * t, (s, got[s], t)
