@@ -238,6 +238,15 @@ def trace_detail(spark, d):
     return rm.trace_detail(folded(spark, d).where("trace_id % 10 = 3")).select("trace_id", "span_id", "kind", "actor", "name", "label", "duration_ns", "input_text", "output_text")
 
 
+@query(
+    f"SELECT trace_id, span_id, {_KIND} AS kind, coalesce('tool:' || tool_name, 'agent:' || agent_name, 'model:' || model, 'span:' || span_id) AS actor, "
+    "coalesce(tool_name, agent_name, model, 'span-' || span_id) AS name, label, duration_ns, input_text, output_text FROM folded"
+)
+def trace_detail_all(spark, d):
+    """Every trace, where ``trace_detail`` reads one in ten."""
+    return rm.trace_detail(folded(spark, d)).select("trace_id", "span_id", "kind", "actor", "name", "label", "duration_ns", "input_text", "output_text")
+
+
 @query(
     "SELECT trace_id, CASE max(CASE label WHEN 'error' THEN 3 WHEN 'run' THEN 2 WHEN 'incomplete' THEN 1 ELSE 0 END) WHEN 3 THEN 'error' WHEN 2 THEN 'run' WHEN 1 THEN 'incomplete' ELSE 'ok' END AS status, "
     f"count(*) AS span_count, {TOOK}, max(duration_ns) AS max_duration_ns, {TOK} FROM folded GROUP BY trace_id"

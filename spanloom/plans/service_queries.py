@@ -63,6 +63,12 @@ def tokenized_terms(spark, d):
     return _table(spark, d, "benchmark").select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT w AS token, count(*) AS n FROM (SELECT unnest({_WORDS}) AS w FROM documents) GROUP BY 1")
+def tokenized_document_terms(spark, d):
+    """All documents, where ``tokenized_terms`` reads the benchmark."""
+    return _table(spark, d, "documents").select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
 @query(
     SPANS_SQL
     + """, doc AS (SELECT trace_id, span_id, regexp_extract_all(lower(string_agg(concat_ws(' ', input_text, output_text, agent_name, tool_name, model, log), ' ' ORDER BY seq)), '[\\p{L}\\p{N}]+') AS t FROM ev GROUP BY ALL),

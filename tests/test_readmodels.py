@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import tokens
 from spanloom.operators import fold as fo, readmodels as rm, retention as rt, trajectory as tj
 from spanloom.operators.predicates import SearchFilter, from_request, truth
+from spanloom.plans import registry
 
 from .helpers import events, one
 
@@ -105,3 +107,12 @@ def test_retention_protection(spark):
     ev = events(spark, [{"trace_id": 91002, "span_id": 1}, {"trace_id": 91003, "span_id": 1}]).withColumn("_arrival", F.when(F.col("trace_id") == 91003, 9).otherwise(1).cast("long"))
     rows, skipped = rt.apply(planned, ev, live_after=5)
     assert [r.trace_id for r in rows.collect()] == [91002] and one(skipped).trace_id == 91003
+
+
+def test_registered_over_whole_tables(spark):
+    d = "/root/testdata/sf0.001"
+    q = registry.QUERIES
+    detail = q["trace_detail_all"](spark, d)
+    assert detail.count() == q["trace_summaries"](spark, d).agg(F.sum("span_count")).first()[0] > q["trace_detail"](spark, d).count()
+    words = spark.read.parquet(f"{d}/documents.parquet").select(F.size(tokens(F.col("text"))).alias("n")).agg(F.sum("n")).first()[0]
+    assert q["tokenized_document_terms"](spark, d).agg(F.sum("n")).first()[0] == words
