@@ -253,8 +253,11 @@ def near_duplicates(
     Words are runs of non-blank characters; a text of fewer than five words is one shingle.
     Null and empty texts have no shingles, no links and are their own class (with their own key);
     repeated rows are copies of each other; null keys take part, and name a class only if no other
-    key does; an empty table gives no rows; other columns are ignored.
+    key does; an empty table gives no rows; other columns are ignored.  Thresholds below THRESHOLD,
+    for which the fixed bands would lose links, are refused.
     """
+    if not THRESHOLD <= threshold <= 1:
+        raise ValueError(f"threshold {threshold} is not between {THRESHOLD} and 1: {BANDS} bands of {ROWS} rows would lose links")
     spark = docs.sparkSession
     slim = docs.select(
         F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2")

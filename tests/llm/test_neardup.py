@@ -94,3 +94,9 @@ def test_awkward(spark, awkward, small):
 def test_posterior_bound():
     least = neardup.fewest_matches(0.8, 1e-9, 192, 24)
     assert len(least) == 8 and list(least) == sorted(least) and least[-1] < 0.8 * 192
+
+
+def test_thresholds_that_the_bands_do_not_serve_are_refused(small):
+    for threshold in (0.5, 0.79, 1.01):
+        with pytest.raises(ValueError):
+            neardup.near_duplicates(small, threshold=threshold)
