@@ -15,6 +15,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     both = checkpointed(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))

@@ -5,19 +5,23 @@ their shingle sets is at least 0.8.
 
 1. Documents with equal shingle sets are one *set* from here on; sets carry how many
    documents they stand for, so copies are never paired.
-2. BANDS keys of ROWS MinHash values each give candidates.  In a bucket of at most HOT sets
-   all pairs count the bands they share; a pair with fewer than MIN_BANDS is dropped (a pair
-   at the threshold has so few with probability below 1e-6).  In a larger bucket every set is
-   tied to the bucket's least one, which takes no pairs at all.
-3. Connected candidates form *areas*.  An area is cut into blocks of BLOCK sets, or fewer where
-   texts are long; each pair of blocks is one piece of work of bounded size, whatever the size of
-   the area.  The text of a set is fetched by hashes of one row's key and text, so a key that
-   many rows share meets its own text alone.
+2. BANDS keys of ROWS MinHash values each give candidates: sets with a key in common are in one
+   *bucket*.  No pairs are made of a bucket.  Each set knows the least set of each of its buckets
+   (BANDS at most) and is tied to the least of these; what is left to connect are those least
+   sets, few and distinct, whose components are the *areas*.  All candidates of a set are in
+   its area.  A pair at the threshold shares no key with probability below 2e-5.
+3. An area of at most BLOCK sets, nearly every one, is compared in one piece.  A larger one is
+   cut by size class, a class reaching as far as one size can be linked to another, and classes
+   into blocks of BLOCK sets, or fewer where texts are long.  First each block is compared with
+   itself, then with the later blocks of its own class and those of the next: pieces of bounded size,
+   whatever the size of the area.  The text of a set is fetched by hashes of one row's key and
+   text, so a key that many rows share meets its own text alone.
 4. There, pairs compare their MinHash values chunk by chunk.  With a uniform prior, m matches
    among n give the posterior P(J >= t) = P(Bin(n + 1, t) <= m); a pair is dropped as soon as it
    falls below ``tolerance``.  What is left is verified exactly on the shingle sets.
-5. A piece of work returns a link count for each set and a spanning forest of its links, both
-   linear in its sets; a second round of components over the forests gives the classes.
+5. A block compared with itself gives each set its root and its link counts.  Blocks compared with others
+   add to the counts, and of links they keep a spanning forest over roots alone; the components
+   of these few edges give the classes.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from itertools import groupby
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +41,13 @@ from .graph import components
 
 WORDS = 5
 THRESHOLD = 0.8
-ROWS = 4
-BANDS = 48
-MIN_BANDS = 5
-HOT = 32
+ROWS = 6
+BANDS = 36
 BLOCK = 512
 #: Shingles of a block, about: blocks of long texts hold fewer sets.
 BLOCK_SHINGLES = 1 << 21
+#: Later blocks that one piece of work compares a block with.
+REACH = 8
 CHUNK = 24
 TOLERANCE = 1e-9
 SPACES = bytes([9, 10, 11, 12, 13])
@@ -203,39 +208,68 @@ class Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
 
+    def add(self) -> int:
+        self.up.append(len(self.up))
+        return len(self.up) - 1
+
     def root(self, x: int) -> int:
         while self.up[x] != x:
             self.up[x] = self.up[self.up[x]]
             x = self.up[x]
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart."""
         a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def work_piece(rows: list[tuple], same: bool, threshold: float, tolerance: float, shingle: Shingler) -> tuple[list, ...]:
-    """Links among one pair of blocks; rows: (set key, side, copies, text)."""
-    rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])
-    sets = [shingle(r[3]) for r in rows]
-    sigs = np.stack([signature(s) for s in sets])
-    side = np.array([r[1] for r in rows])
-    copies = np.array([r[2] for r in rows], np.int64)
-    everyone = np.arange(len(rows))
-    left, right = (everyone, everyone) if same else (everyone[side == 0], everyone[side == 1])
-    n_sets, n_docs = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-    forest = Forest(len(rows))
-    if len(left) and len(right):
-        i, j = linked_pairs(sets, sigs, left, right, same, threshold, tolerance)
-        for a, b in ((i, j), (j, i)):
-            n_sets += np.bincount(a, minlength=len(rows))
-            n_docs += np.bincount(a, copies[b], len(rows)).astype(np.int64)
-        # an edge for each first link of a set, then those that join more
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+class Block:
+    """Sets of one block: keys, copies, shingles and MinHash values, and the roots that are known of them."""
+
+    def __init__(self, rows: list[dict], shingle: Shingler):
+        found = {}
+        for r in rows:
+            shingles = shingle(r["t"])
+            if set_key(shingles) == r["s"]:  # another text may have the same hashes
+                found[r["s"]] = (shingles, r)
+        self.keys = sorted(found)
+        self.shingles = [found[k][0] for k in self.keys]
+        self.copies = np.array([found[k][1]["copies"] for k in self.keys], np.int64)
+        self.sigs = np.stack([np.frombuffer(found[k][1]["sig"], np.uint32) for k in self.keys]) if found else np.empty((0, 1), np.uint32)
+        self.roots = [found[k][1].get("root") for k in self.keys]
+        self.n_sets, self.n_docs = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+
+    def count(self, i: np.ndarray, copies: np.ndarray) -> None:
+        self.n_sets += np.bincount(i, minlength=len(self.keys))
+        self.n_docs += np.bincount(i, copies, len(self.keys)).astype(np.int64)
+
+
+def links_within(block: Block, threshold: float, tolerance: float) -> list[bytes]:
+    """The root of each set among the links of its own block, which are counted."""
+    forest = Forest(len(block.keys))
+    if len(block.keys) > 1:
+        everyone = np.arange(len(block.keys))
+        i, j = linked_pairs(block.shingles, block.sigs, everyone, everyone, True, threshold, tolerance)
+        block.count(i, block.copies[j])
+        block.count(j, block.copies[i])
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             forest.join(a, b)
-    keys = [r[0] for r in rows]
-    return keys, [keys[forest.root(x)] for x in range(len(rows))], n_sets.tolist(), n_docs.tolist()
+    return [block.keys[forest.root(x)] for x in range(len(block.keys))]
+
+
+def links_between(left: Block, right: Block, threshold: float, tolerance: float) -> set[tuple[bytes, bytes]]:
+    """Pairs of roots with a link between two blocks; all links are counted."""
+    n = len(left.keys)
+    if not n or not right.keys:
+        return set()
+    here, there = np.arange(n), n + np.arange(len(right.keys))
+    i, j = linked_pairs(left.shingles + right.shingles, np.concatenate([left.sigs, right.sigs]), here, there, False, threshold, tolerance)
+    j = j - n
+    left.count(i, right.copies[j])
+    right.count(j, left.copies[i])
+    return {(left.roots[a], right.roots[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
 
 
 def near_duplicates(
@@ -297,73 +331,134 @@ def near_duplicates(
 
     in_bands = sets.select("s", "bands").mapInArrow(spread, "band long, s binary")
     buckets = in_bands.groupBy("band").agg(F.count("*").alias("n"), F.min("s").alias("center")).where("n > 1")
-    shared = checkpointed(in_bands.join(buckets, "band"))
-    small = shared.where(F.col("n") <= HOT).select("band", "s")
-    pairs = (
-        small.join(small.select("band", F.col("s").alias("s2")), "band")
-        .where("s < s2")
-        .groupBy("s", "s2")
-        .agg(F.count("*").alias("bands"))
-        .where(F.col("bands") >= MIN_BANDS)
-        .select(F.col("s").alias("a"), F.col("s2").alias("b"))
-    )
-    ties = shared.where((F.col("n") > HOT) & (F.col("s") != F.col("center"))).select(F.col("s").alias("a"), F.col("center").alias("b")).distinct()
-    areas = components(pairs.union(ties))
-
-    members = checkpointed(areas.join(sets, F.col("node") == F.col("s")).select("label", "s", "h1", "h2", "copies", "shingles"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).cast("int")
-    sizes = members.groupBy("label").agg(blocks.alias("blocks"))
-    chosen = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
-    work = (
+    # at most BANDS centers a set, the least of which it is tied to
+    tied = (
+        in_bands.join(buckets.select("band", "center"), "band")
+        .groupBy("s").agg(F.array_sort(F.collect_set("center")).alias("centers"))
+        .select("s", "centers", F.get("centers", F.lit(0)).alias("rep"))
+    )
+    tied = checkpointed(tied)
+    between = tied.where(F.size("centers") > 1).select(F.col("rep").alias("a"), F.explode(F.slice("centers", 2, BANDS)).alias("b")).distinct()
+    areas = components(between)
+    placed = tied.join(areas, F.col("rep") == F.col("node"), "left").select("s", F.coalesce("label", "rep").alias("label"))
+
+    # sizes that can be linked differ by one class at most
+    size_class = F.floor(F.log("shingles") / F.lit(log(1 / threshold) + 1e-9)).cast("long")
+    members = checkpointed(placed.join(sets, "s").select("label", "s", "least", "h1", "h2", "copies", "shingles", size_class.alias("c")))
+    load = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).cast("long")
+    large = members.groupBy("label").agg(load.alias("load")).where("load > 1").select("label")
+    # one row a class and area, a size class for each factor of 1 / threshold
+    cuts = members.join(large, "label", "left_semi").groupBy("label", "c").agg(load.alias("blocks"))
+    cuts = cuts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("c", "blocks"))).alias("cuts"))
+    none = F.lit(0).cast("long")
+    blocks = {n: F.coalesce(F.col("cuts")[F.col("c") + F.lit(d).cast("long")], none) for n, d in (("before", -1), ("own", 0), ("after", 1))}
+    chosen = members.join(cuts, "label", "left").select(
+        "label", "s", "h1", "h2", "copies",
+        F.when(F.col("cuts").isNull(), none).otherwise(F.col("c")).alias("c"),
+        F.when(F.col("cuts").isNull(), none).otherwise(F.pmod(F.xxhash64("s"), F.col("cuts")[F.col("c")])).alias("b"),
+        *[v.alias(n) for n, v in blocks.items()],
+    )
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
+        for batch in batches:
+            found = [shingle(t) for t in batch["t"].to_pylist()]
+            sigs = pa.array([signature(s).tobytes() if len(s) else None for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sigs], names=[*batch.schema.names, "sig"])
+
+    fetched = (
         slim.select("h1", "h2", "t").join(chosen, ["h1", "h2"])
         .dropDuplicates(["h1", "h2"])  # repeated rows; dealt as the join is
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "label",
-            F.least("block", "other").alias("i"),
-            F.greatest("block", "other").alias("j"),
-            (F.col("block") > F.col("other")).cast("int").alias("side"),
-            "s", "copies", "t",
-        )
+        .drop("h1", "h2")
     )
+    fetched = fetched.mapInArrow(sign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fetched.schema) + ", sig binary")
+    fetched = checkpointed(fetched)
     n = max(parallelism(spark), 1)
-    dealt = work.repartition(n, "label", "i", "j").sortWithinPartitions("label", "i", "j")
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, Iterator[dict]]]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        return groupby(rows, lambda r: tuple(r[k] for k in keys))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
-        held: list[tuple] = []
-        at = None
-
-        def done() -> pa.RecordBatch:
-            mine = [r for r in held if set_key(shingle(r[3])) == r[0]]
-            cols = work_piece(mine, at[1] == at[2], threshold, tolerance, shingle) if mine else ([], [], [], [])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, kind in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)],
+        for _, rows in grouped(batches, ["label", "c", "b"]):
+            block = Block(list(rows), shingle)
+            roots = links_within(block, threshold, tolerance)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block.keys, pa.binary()), pa.array(roots, pa.binary()), pa.array(block.n_sets), pa.array(block.n_docs)],
                 names=["s", "root", "n_sets", "n_docs"],
             )
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != at:
-                    if held:
-                        yield done()
-                    held, at = [], row[:3]
-                held.append((row[4], row[3], row[5], row[6]))
-        if held:
-            yield done()
-
-    found = checkpointed(dealt.mapInArrow(pieces, "s binary, root binary, n_sets long, n_docs long"))
-    classes = components(found.select(F.col("s").alias("a"), F.col("root").alias("b")))
-    counted = found.groupBy("s").agg(F.sum("n_sets").alias("n_sets"), F.sum("n_docs").alias("n_docs"))
-    known = (
-        sets.select("s", "least", "copies")
-        .join(counted, "s", "left")
-        .join(classes.withColumnRenamed("node", "s"), "s", "left")
-        .withColumn("label", F.coalesce("label", "s"))
+    own = fetched.select("label", "c", "b", "s", "copies", "t", "sig").repartition(n, "label", "c", "b").sortWithinPartitions("label", "c", "b")
+    inner = checkpointed(own.mapInArrow(within, "s binary, root binary, n_sets long, n_docs long"))
+
+    # a block of a large area meets the later ones of its class and those of the next, REACH at a time
+    c, b = F.col("c"), F.col("b")
+    later = F.col("own") - 1 - b + F.col("after")
+    piece = lambda lc, li, nth, side: F.struct(
+        lc.alias("lc"), li.alias("li"), F.floor(nth / REACH).cast("long").alias("part"), F.lit(side).alias("side")
+    )
+    empty = F.array().cast("array<struct<lc: bigint, li: bigint, part: bigint, side: int>>")
+    upto = lambda m, f: F.when(m > 0, F.transform(F.sequence(none, m - F.lit(1).cast("long")), f)).otherwise(empty)
+    meets = F.concat(
+        upto(F.ceil(later / REACH).cast("long"), lambda p: piece(c, b, p * REACH, 0)),
+        upto(b, lambda i: piece(c, i, b - i - 1, 1)),
+        upto(F.col("before"), lambda i: piece(c - 1, i, F.col("before") - 1 - i + b, 1)),
     )
-    known = checkpointed(known)
-    heads = known.groupBy("label").agg(F.min("least").alias("class_id"))
-    known = known.join(heads, "label").select("s", "copies", "n_sets", "n_docs", "class_id")
+    across = (
+        fetched.where("own > 0").join(inner.select("s", "root"), "s")
+        .select("label", F.inline(meets), "c", "b", "s", "copies", "root", "t", "sig")
+        .repartition(n, "label", "lc", "li", "part").sortWithinPartitions("label", "lc", "li", "part", "side", "c", "b")
+    )
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
+
+        def counts(block: Block) -> Iterator[pa.RecordBatch]:
+            some = np.flatnonzero(block.n_sets)
+            if len(some):
+                keys = pa.array([block.keys[x] for x in some], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [keys, pa.nulls(len(some), pa.binary()), pa.array(block.n_sets[some]), pa.array(block.n_docs[some])], names=["s", "root", "n_sets", "n_docs"]
+                )
+
+        for _, rows in grouped(batches, ["label", "lc", "li", "part"]):
+            left = Block([], shingle)
+            number: dict[bytes, int] = {}
+            forest = Forest(0)
+            edges = []
+            for (side, *_), block_rows in groupby(rows, lambda r: (r["side"], r["c"], r["b"])):
+                block = Block(list(block_rows), shingle)
+                if side == 0:
+                    left = block
+                    continue
+                for x, y in sorted(links_between(left, block, threshold, tolerance)):
+                    for r in (x, y):
+                        if r not in number:
+                            number[r] = forest.add()
+                    if forest.join(number[x], number[y]):
+                        edges.append((x, y))
+                yield from counts(block)
+            yield from counts(left)
+            if edges:
+                zeros = pa.array(np.zeros(len(edges), np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x, _ in edges], pa.binary()), pa.array([y for _, y in edges], pa.binary()), zeros, zeros], names=["s", "root", "n_sets", "n_docs"]
+                )
+
+    outer = checkpointed(across.mapInArrow(beyond, "s binary, root binary, n_sets long, n_docs long"))
+    classes = components(outer.where("root is not null").select(F.col("s").alias("a"), F.col("root").alias("b")))
+    linked = (
+        inner.union(outer.where("root is null")).groupBy("s")
+        .agg(F.max("root").alias("root"), F.sum("n_sets").alias("n_sets"), F.sum("n_docs").alias("n_docs"))
+        .join(classes, F.col("root") == F.col("node"), "left")
+        .join(members.select("s", "least"), "s")
+        .select("s", "least", F.coalesce("label", "root").alias("label"), "n_sets", "n_docs")
+    )
+    linked = checkpointed(linked)
+    heads = linked.groupBy("label").agg(F.min("least").alias("class_id"))
+    known = sets.select("s", "least", "copies").join(linked.join(heads, "label").select("s", "class_id", "n_sets", "n_docs"), "s", "left")
+    known = known.select("s", "copies", "n_sets", "n_docs", F.coalesce("class_id", "least").alias("class_id"))
     zero = F.lit(0).cast("long")
     out = sketched.select("k", "s").join(known, "s", "left")
     return out.select(

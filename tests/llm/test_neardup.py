@@ -52,9 +52,9 @@ def varied(rnd, base, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("hot", [32, 4])
-def test_planted_copies(spark, hot, monkeypatch):
-    monkeypatch.setattr(neardup, "HOT", hot)
+@pytest.mark.parametrize("block", [512, 8])
+def test_planted_copies(spark, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rnd = random.Random(7)
     rows, n = [], 0
     for size in (1, 1, 2, 3, 8, 60):
@@ -76,6 +76,36 @@ def test_blocks_of_an_area(spark, monkeypatch):
     check(spark, [(i, varied(rnd, base, rnd.choice([0, 1, 2, 3]))) for i in range(90)])
 
 
+def test_size_classes_of_an_area(spark, monkeypatch):
+    """Prefixes of one text: links reach across size classes, and chains of them make one class."""
+    monkeypatch.setattr(neardup, "BLOCK", 6)
+    monkeypatch.setattr(neardup, "REACH", 2)
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    check(spark, [(i, varied(rnd, base[: rnd.randrange(60, 400)], rnd.choice([0, 0, 1]))) for i in range(120)])
+
+
+def test_components_get_few_edges(spark, monkeypatch):
+    """A group of k near copies: neither call of ``components`` is given more edges than sets."""
+    fed = []
+    plain = neardup.components
+
+    def counted(edges):
+        fed.append(edges.where("a <> b").count())
+        return plain(edges)
+
+    monkeypatch.setattr(neardup, "components", counted)
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for k in (200, 400):
+        rows.append([(i, varied(rnd, base, 2)) for i in range(k)])
+        got = neardup.near_duplicates(spark.createDataFrame(rows[-1], "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.n_links, r.class_id) for r in got) == sorted(by_hand(rows[-1]))
+    assert fed[0] <= 200 and fed[2] <= 400 and fed[1] <= 200 and fed[3] <= 400
+
+
 def test_one_key_of_many_rows(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 500)
     rnd = random.Random(11)
