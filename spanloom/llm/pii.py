@@ -4,13 +4,18 @@ Values are found by pattern, validated (check digits, calendar, octet and area r
 into a number, permuted by a keyed Feistel network over exactly the numbers that are valid in
 their format, and written back in the same format.  The permutation depends on the key and the
 kind alone: equal values get equal pseudonyms in every document, different values of a kind
-different ones.  Everything else in a text stays as it is.
+different ones.  A date is one value in all of its spellings, as is an IPv6 address, which comes
+out with its eight groups.  Everything else in a text stays as it is.
+
+Values of any length are taken: of long ones PART characters at a time are permuted, each part
+under a tweak of the parts before it, so the whole stays a permutation and the time linear.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -24,6 +29,8 @@ from .common import table
 #: The key of tests and of the registered query; production passes its own.
 KEY = b"spanloom demonstration key"
 ROUNDS = 10
+#: Characters that are permuted as one number.
+PART = 96
 
 
 def feistel(x: int, size: int, key: bytes, tweak: str, valid: Callable[[int], bool] | None = None) -> int:
@@ -36,12 +43,14 @@ def feistel(x: int, size: int, key: bytes, tweak: str, valid: Callable[[int], bo
         return x
     a = isqrt(size - 1) + 1
     b = -(-size // a)
-    head = tweak.encode() + b"|" + str(size).encode() + b"|"
+    head = tweak.encode() + b"|" + size.to_bytes(size.bit_length() // 8 + 1, "big") + b"|"
+    wide = size.bit_length() // 8 + 8
+    digest_size = 24 if wide < 27 else 64
     while True:
         left, right = divmod(x, b)
         for r in range(ROUNDS):
             source = right if r % 2 == 0 else left
-            digest = hashlib.blake2b(head + b"%d|%d" % (r, source), key=key[:64], digest_size=24 if size.bit_length() < 150 else 64).digest()
+            digest = hashlib.blake2b(head + bytes((r,)) + source.to_bytes(wide, "big"), key=key[:64], digest_size=digest_size).digest()
             f = int.from_bytes(digest, "big")
             if r % 2 == 0:
                 left = (left + f) % a
@@ -80,6 +89,8 @@ def _number(value: str, key: bytes, kind: str) -> tuple[str, str]:
         check = next(c for c in "0123456789" if luhn(body + c))
         return _refill(value, body + check), "card"
     n = len(digits)
+    if n > PART:
+        return _classes(value, key, "number"), "number"
     keeps = (lambda x: not luhn(str(x).zfill(n))) if 13 <= n <= 19 else None
     return _refill(value, str(feistel(int(digits), 10**n, key, "number", keeps)).zfill(n)), "number"
 
@@ -112,32 +123,82 @@ def _ip(value: str, key: bytes, kind: str) -> tuple[str, str] | None:
     return ".".join(map(str, n.to_bytes(4, "big"))), kind
 
 
+def _ip6(value: str, key: bytes, kind: str) -> tuple[str, str] | None:
+    try:
+        n = int(ipaddress.IPv6Address(value))
+    except ValueError:
+        return None
+    digits = value.replace(":", "")
+    if len(digits) < 4 or not any(c.isdigit() for c in digits):  # a scope of program text, or no host
+        return None
+    new = ipaddress.IPv6Address(feistel(n, 1 << 128, key, "ip6")).exploded
+    return new.upper() if value != value.lower() else new, kind
+
+
 #: Letters that a permuted name may hold beside a-z and 0-9: the small letters of Latin-1.
 LATIN = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", LATIN)
 HEX = ("0123456789abcdef",)
+#: Digits of any base up to 36, as int() reads them.
+_BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+@lru_cache(maxsize=8)
+def _places(classes: tuple[str, ...]) -> dict[str, int]:
+    """Character to the number of its class."""
+    return {c: n for n, k in enumerate(classes) for c in k}
+
+
+def _to_number(chars: str, kinds: list[int], classes: tuple[str, ...]) -> tuple[int, int]:
+    """The characters as one number, and how many numbers there are."""
+    first = classes[kinds[0]]
+    if len(first) <= 36 and kinds.count(kinds[0]) == len(kinds):
+        digits = chars if _BASE36.startswith(first) else chars.translate(str.maketrans(first, _BASE36[: len(first)]))
+        return int(digits, len(first)), len(first) ** len(chars)
+    x, size = 0, 1
+    for c, k in zip(chars, kinds, strict=True):
+        letters = classes[k]
+        size *= len(letters)
+        x = x * len(letters) + letters.index(c)
+    return x, size
+
+
+def _from_number(x: int, kinds: list[int], classes: tuple[str, ...]) -> str:
+    first = classes[kinds[0]]
+    if len(first) in (10, 16) and kinds.count(kinds[0]) == len(kinds):
+        return format(x, "d" if len(first) == 10 else "x").zfill(len(kinds))
+    out = []
+    for k in reversed(kinds):
+        x, r = divmod(x, len(classes[k]))
+        out.append(classes[k][r])
+    return "".join(reversed(out))
 
 
 def _classes(value: str, key: bytes, tweak: str, classes: tuple[str, ...] = CLASSES) -> str:
     """Permute the characters of known classes; case and all others keep their places."""
-    low = [c.lower() if len(c.lower()) == 1 else c for c in value]
-    where = [next((k for k in classes if c in k), None) for c in low]
-    size, x = 1, 0
-    for c, k in zip(low, where, strict=True):
-        if k:
-            size *= len(k)
-            x = x * len(k) + k.index(c)
-    shape = "".join("-" if k is None else str(classes.index(k)) for k in where)
-    x = feistel(x, size, key, f"{tweak}|{shape}")
-    out = []
-    for old, c, k in zip(reversed(value), reversed(low), reversed(where), strict=True):
-        if k is None:
-            out.append(old)
-            continue
-        x, r = divmod(x, len(k))
-        new = k[r]
-        out.append(new.upper() if old != c and len(new.upper()) == 1 else new)
-    return "".join(reversed(out))
+    low = value.lower()
+    if len(low) != len(value):  # a few letters have longer small forms
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    place = _places(classes)
+    where = [i for i, c in enumerate(low) if c in place]
+    if not where:
+        return value
+    chars = low if len(where) == len(low) else "".join([low[i] for i in where])
+    shape = "".join([str(place[c]) if c in place else "-" for c in low]) if len(low) <= PART else str(len(low))
+    new, before = [], ""
+    for s in range(0, len(chars), PART):
+        part = chars[s : s + PART]
+        kinds = [place[c] for c in part]
+        x, size = _to_number(part, kinds, classes)
+        new.append(_from_number(feistel(x, size, key, f"{tweak}|{shape}{before}"), kinds, classes))
+        before = "|" + hashlib.blake2b((before + part).encode(), key=key[:64], digest_size=16).hexdigest()
+    changed = "".join(new)
+    if value == chars:
+        return changed
+    out = list(value)
+    for i, c in zip(where, changed, strict=True):
+        out[i] = c.upper() if value[i] != low[i] and len(c.upper()) == 1 else c
+    return "".join(out)
 
 
 def _email(value: str, key: bytes, kind: str) -> tuple[str, str]:
@@ -183,9 +244,10 @@ def _date(value: str, key: bytes, kind: str) -> tuple[str, str] | None:
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
     days = (LAST_DAY - FIRST_DAY).days + 1
-    # a date that was written month first must stay unreadable as day first
-    readable = (lambda n: (FIRST_DAY + dt.timedelta(n)).day > 12) if swapped else None
-    new = FIRST_DAY + dt.timedelta(feistel((day - FIRST_DAY).days, days, key, "date-mdy" if swapped else "date", readable))
+    # a date that was written month first must stay unreadable as day first, so days beyond 12 stay beyond 12
+    # in every spelling
+    alike = lambda n: ((FIRST_DAY + dt.timedelta(n)).day > 12) == (day.day > 12)
+    new = FIRST_DAY + dt.timedelta(feistel((day - FIRST_DAY).days, days, key, "date", alike))
     two = lambda n, like: f"{n:02d}" if len(like) == 2 else str(n)
     first = (two(new.month, m), two(new.day, d)) if swapped or year_first else (two(new.day, d), two(new.month, m))
     return seps[0].join([str(new.year), *first] if year_first else [*first, str(new.year)]), kind
@@ -210,12 +272,14 @@ PHONE = r"(?<![\d+])(?:" + "|".join(
 
 #: Kind, pattern and rewriting rule, in the order in which they are tried at a place.
 KINDS = (
-    ("email", r"[^\s@<>\"'(),;:|=]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
+    # from the start of a run on and without going back, so a long run without an @ is read once
+    ("email", r"(?<![^\s@<>\"'(),;:|=])[^\s@<>\"'(),;:|=]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("date", r"(?<![\d.\-/])(?:\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{4})(?![\d\-/]|\.\d)", _date),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     ("phone", PHONE, _phone),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip),
+    ("ip6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.\d)", _ip6),
     ("number", r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{12,})(?!\d)", _number),
     ("hex", r"(?<![A-Za-z0-9])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}(?![A-Za-z0-9])", _hex),
     ("secret", r"(?i:(?<=password = \")|(?<=password=)|(?<=password: )|(?<=secret = \")|(?<=secret=)|(?<=token = \")|(?<=token=)|(?<=api_key = \")|(?<=api_key=))[^\s\"']{6,}", _secret),
