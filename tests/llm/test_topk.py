@@ -33,7 +33,7 @@ def test_random_and_tied_vectors(spark):
     rows = [(i, [f(rnd.gauss(0, 0.3)) for _ in range(16)], 1, "x", 1) for i in range(600)]
     rows += [(1000 + i, rows[5][1], 1, "x", 1) for i in range(40)]  # copies, and ties
     assert run(spark, rows) == by_hand(rows)
-    assert run(spark, rows, query_block=2, row_block=64) == by_hand(rows)
+    assert run(spark, rows, query_bytes=2 * 128, row_bytes=64 * 128, seeds=20) == by_hand(rows)
 
 
 def test_awkward_vectors(spark):
@@ -62,3 +62,41 @@ def test_bounds_hold():
         if previous is not None:
             assert bound.mean() <= previous.mean() + 1e-9
         previous = bound
+
+
+def test_bounds_discard_most_pairs_of_clustered_vectors():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(50, 64))
+    x = np.floor(1024 * (centers[rng.integers(0, 50, 6000)] + 0.1 * rng.normal(size=(6000, 64))))
+    ids = np.arange(len(x))
+    q, qid = x[ids % 100 == 0], ids[ids % 100 == 0]
+    best = topk.search_block(qid, q, ids, x, 10)
+    for i, (s, found) in zip(qid, best.rows, strict=True):
+        score = (x @ x[i]).astype(np.int64)
+        want = np.lexsort((ids, -score))
+        want = want[want != i][:10]
+        assert found.tolist() == want.tolist() and s.tolist() == score[want].tolist()
+    assert best.exact < 0.1 * len(q) * len(x)
+    # vectors without any structure: no bound can tell, all are still right
+    y = np.floor(1024 * rng.normal(size=(3000, 64)))
+    flat = topk.search_block(ids[:30], y[:30], ids[:3000], y, 10)
+    for i in range(30):
+        score = (y @ y[i]).astype(np.int64)
+        want = np.lexsort((ids[:3000], -score))
+        assert flat.rows[i][1].tolist() == want[want != i][:10].tolist()
+
+
+def test_first_round_and_norms_leave_little():
+    """A few long vectors are everybody's best: blocks without them are left at their first rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = np.floor(100 * np.abs(rng.normal(size=(4000, 16))))
+    x[:40] *= 100
+    ids = np.arange(len(x))
+    q = x[100:130]
+    floor = np.sort(q @ x[:40].T, axis=1)[:, -10]
+    best = topk.search_block(ids[100:130], q, ids[2000:], x[2000:], 10, floor)
+    assert best.exact == 0 and all(len(r[0]) == 0 for r in best.rows)
