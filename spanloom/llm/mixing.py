@@ -9,8 +9,9 @@
    quotients, so no list of all quotients is made.
 3. Seats are dealt to output shards in turn, which gives whole-number quotas per shard.
 4. Selection: a source's own tokens, in the order of a seeded hash, form its blocks; a
-   seeded affine permutation of the block numbers says which ones are taken, after as
-   many full passes as the quota holds.  No block list is built: each record adds up the
+   seeded affine permutation puts the block numbers in the order in which they take the
+   source's seats, pass after pass.  A seat belongs to a shard, and it is taken as long as
+   the shard's quota of the source lasts.  No block list is built: each record adds up the
    blocks that its token interval meets.
 
 A record's interval comes from a distributed prefix sum over about sqrt(n) hash buckets
@@ -32,7 +33,8 @@ BLOCKS = 20_000
 SHARDS = 8
 REPEAT_LIMIT = 3
 TWO52 = float(1 << 52)
-#: Primes, one of which steps through a source's blocks.
+#: Primes, one of which steps through a source's blocks.  Of numbers below 2**46, each has
+#: at most one of them as a factor.
 STEPS = (2147483647, 2147483629, 2147483587, 2147483579)
 
 
@@ -104,17 +106,21 @@ def source_plan(
     )
 
 
-def shard_quotas(plan: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Blocks of each source in each shard: seats are dealt in turn, so shard totals differ by one at most."""
+def shard_quota(shards: int) -> Column:
+    """Blocks of a source in each shard: seats are dealt in turn, so shard totals differ by one at most."""
     last = F.col("first_seat") + F.col("quota") - F.lit(1).cast("long")
 
-    def dealt(upto: Column) -> Column:
-        return F.floor((upto - F.col("shard")) / shards)
+    def dealt(upto: Column, shard: Column) -> Column:
+        # whole numbers all the way; upto may be -1
+        return (upto - shard - F.pmod(upto - shard, F.lit(shards).cast("long"))) / shards
 
-    h = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
-    return plan.select("source", "quota", "first_seat", h).select(
-        "source", "shard", (dealt(last) - dealt(F.col("first_seat") - F.lit(1).cast("long"))).alias("blocks")
-    )
+    h = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
+    return F.transform(h, lambda x: (dealt(last, x) - dealt(F.col("first_seat") - F.lit(1).cast("long"), x)).cast("long"))
+
+
+def shard_quotas(plan: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The quotas as rows (source, shard, blocks)."""
+    return plan.select("source", F.posexplode(shard_quota(shards)).alias("shard", "blocks")).withColumn("shard", F.col("shard").cast("long"))
 
 
 def mix(
@@ -126,11 +132,13 @@ def mix(
     blocks: int = BLOCKS,
     repeat_limit: int = REPEAT_LIMIT,
     seed: str = SEED,
+    shards: int = SHARDS,
 ) -> DataFrame:
     """How many words of each record the mix takes.
 
-    Returns (key, size, source, source_size, target, taken, repeats), one row per input row;
-    ``repeats`` is how often the block with the record's first word is taken.  Null texts have
+    Returns (key, size, source, source_size, target, taken, repeats, pieces), one row per input row;
+    ``repeats`` is how often the block with the record's first word is taken, ``pieces`` an array of
+    (shard, words): which shard gets how many of the record's words, for each of its blocks.  Null texts have
     size 0 and are taken 0 times; null sources form one source, last in order; repeated rows
     are records of their own; an empty table gives no rows; other columns are ignored.
     """
@@ -145,16 +153,18 @@ def mix(
         )
     )
     plan = source_plan(sizes, weights, blocks, repeat_limit).withColumnRenamed("source", "s")
-    plan = plan.join(sizes.select("source", "buckets"), F.col("s").eqNullSafe(F.col("source"))).drop("source")
+    plan = plan.join(sizes.select("source", "buckets"), F.col("s").eqNullSafe(F.col("source"))).drop("source", "pieces")
     whole = F.greatest(F.col("n_blocks"), F.lit(1).cast("long"))
     steps = F.array(*[F.lit(p).cast("long") for p in STEPS])
-    pick = F.pmod(unit_hash(f"{seed}:step", F.col("pos")), F.lit(len(STEPS))).cast("int") + 1
+    pick = F.pmod(unit_hash(f"{seed}:step", F.col("pos")), F.lit(len(STEPS))).cast("int")
+    # a step that divides the number of blocks would not reach them all: the next one does
+    prime = F.element_at(steps, pick + 1)
+    prime = F.when(F.pmod(whole, prime) == 0, F.element_at(steps, F.pmod(pick + 1, F.lit(len(STEPS))) + 1)).otherwise(prime)
     plan = plan.withColumns(
         {
-            "step": F.pmod(F.element_at(steps, pick), whole),
+            "step": F.pmod(prime, whole),
             "shift": F.pmod(unit_hash(f"{seed}:shift", F.col("pos")), whole),
-            "passes": F.floor(F.col("quota") / whole),
-            "rest": F.pmod(F.col("quota"), whole),
+            "quotas": shard_quota(shards),
         }
     )
     plan = checkpointed(plan)
@@ -174,41 +184,56 @@ def mix(
     one = F.lit(1).cast("long")
     nth = F.explode(F.sequence(zero, F.col("copies") - one)).alias("nth")
     rows = rows.select("*", nth).withColumn("begin", F.col("start") + F.col("offset") + F.col("nth") * F.col("size"))
+    rows = rows.withColumn("pieces", F.when(F.col("size") > 0, pieces(repeat_limit, shards)).otherwise(F.array().cast("array<struct<shard: int, words: bigint>>")))
+    first = F.filter(turns(F.col("begin") / F.col("block"), repeat_limit, shards), lambda t: t["taken"])
     return rows.select(
         F.col("k").alias(key),
         "size",
         F.col("source").alias(source),
         "source_size",
         "target",
-        taken_words().alias("taken"),
-        F.when(F.col("size") > 0, F.col("passes") + selected(F.floor(F.col("begin") / F.col("block"))).cast("long"))
-        .otherwise(zero)
-        .alias("repeats"),
+        F.aggregate("pieces", zero, lambda a, p: a + p["words"]).alias("taken"),
+        F.when(F.col("size") > 0, F.size(first).cast("long")).otherwise(zero).alias("repeats"),
+        "pieces",
     )
 
 
-def selected(block: Column) -> Column:
-    """Whether the last, incomplete pass over the source takes this block."""
-    return F.pmod(F.col("step") * block + F.col("shift"), F.col("n_blocks")) < F.col("rest")
+def times_modulo(a: Column, b: Column, n: Column) -> Column:
+    """a * b modulo n in BIGINT for a < 2**31 and b, n < 2**46."""
+    high = F.pmod(a * F.shiftright(b, 16), n) * F.lit(1 << 16)
+    return F.pmod(high + a * b.bitwiseAND(F.lit((1 << 16) - 1).cast("long")), n)
 
 
-def taken_words() -> Column:
-    """Words taken of the interval [begin, begin + size) under the plan's columns."""
-    zero = F.lit(0).cast("long")
+def turns(block: Column, repeat_limit: int, shards: int) -> Column:
+    """For each pass over the source: the shard of the block's seat, and whether the shard's quota reaches to it."""
+    n, s = F.greatest(F.col("n_blocks"), F.lit(1).cast("long")), F.lit(shards).cast("long")
+    rank = F.pmod(times_modulo(F.col("step"), F.floor(block).cast("long"), n) + F.col("shift"), n)
+
+    def turn(nth: int) -> Column:
+        seat = rank + n * nth
+        shard = F.pmod(F.col("first_seat") + seat, s).cast("int")
+        # the seats of one shard are one in ``shards``, so this many come before
+        before = (seat - F.pmod(seat, s)) / s
+        return F.struct(shard.alias("shard"), (before < F.get("quotas", shard)).alias("taken"))
+
+    return F.array(*[turn(nth) for nth in range(repeat_limit)])
+
+
+def pieces(repeat_limit: int, shards: int) -> Column:
+    """(shard, words) of the interval [begin, begin + size) under the plan's columns."""
     end = F.col("begin") + F.col("size")
     touched = F.sequence(F.floor(F.col("begin") / F.col("block")), F.floor((end - F.lit(1)) / F.col("block")))
 
-    def words(block: Column) -> Column:
-        return F.least(end, (block + 1) * F.col("block")) - F.greatest(F.col("begin"), block * F.col("block"))
+    def of_block(block: Column) -> Column:
+        words = F.least(end, (block + 1) * F.col("block")) - F.greatest(F.col("begin"), block * F.col("block"))
+        seats = F.filter(turns(block, repeat_limit, shards), lambda t: t["taken"])
+        return F.transform(seats, lambda t: F.struct(t["shard"].alias("shard"), words.alias("words")))
 
-    part = F.aggregate(touched, zero, lambda acc, j: acc + F.when(selected(j), words(j)).otherwise(zero))
-    return F.when(
-        F.col("size") > 0, F.col("passes") * F.col("size") + F.when(F.col("rest") > 0, part).otherwise(zero)
-    ).otherwise(zero)
+    return F.flatten(F.transform(touched, of_block))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "pieces")
 
 
 #: The same mix in DuckDB: one ordered prefix sum a source, and all quotients in one list.

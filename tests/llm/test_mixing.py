@@ -68,3 +68,39 @@ def test_empty(spark, small):
     assert mixing.mix(small.limit(0)).count() == 0
     none = small.selectExpr("doc_id", "cast(null as string) as text", "source")
     assert {r.taken for r in mixing.mix(none).collect()} == {0}
+
+
+def test_shards_get_their_quotas(spark, small):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = docs.groupBy("source").agg({"text": "count"}).collect()
+    rows = mixing.mix(docs, blocks=2000).collect()
+    own = {r.source: r.source_size for r in rows}
+    plan = mixing.source_plan(spark.createDataFrame(list(own.items()), "source string, source_size long"), blocks=2000)
+    block = {r.source: r.block for r in plan.collect()}
+    quota = {(r.source, r.shard): r.blocks for r in mixing.shard_quotas(plan).collect()}
+    words, total = defaultdict(int), defaultdict(int)
+    for r in rows:
+        assert sum(p.words for p in r.pieces) == r.taken
+        for p in r.pieces:
+            words[r.source, p.shard] += p.words
+            total[p.shard] += p.words
+    assert len(sizes) > 1 and set(words) <= set(quota) and set(total) == set(range(8))
+    for k, n in quota.items():  # a source's last block may be short, in each of three passes
+        assert n * block[k[0]] - 3 * block[k[0]] <= words[k] <= n * block[k[0]]
+    assert max(total.values()) - min(total.values()) <= 4 * len(own) * max(block.values())
+
+
+def test_a_few_words_beside_very_many(spark):
+    """2e13 words beside 30: no overflow, the right words, and every block has one place."""
+    sizes = spark.createDataFrame([("a", 20_000_000_000_000), ("b", 30)], "source string, source_size long")
+    plan = mixing.source_plan(sizes)
+    got = {r.source: r for r in plan.collect()}
+    assert got["b"].target == 90 and got["b"].quota == 90 and abs(got["a"].quota - got["a"].target) <= 2
+    n, step = got["a"].n_blocks, mixing.STEPS[0]
+    for b in (0, 1, 65_535, 65_536, n - 1, 123_456_789_012):
+        from pyspark.sql import functions as F
+
+        found = spark.range(1).select(mixing.times_modulo(F.lit(step).cast("long"), F.lit(b).cast("long"), F.lit(n).cast("long")).alias("x")).first().x
+        assert found == step * b % n
+    per = {r.shard: r.blocks for r in mixing.shard_quotas(plan.where("source = 'a'")).collect()}
+    assert sum(per.values()) == got["a"].quota and max(per.values()) - min(per.values()) <= 1
