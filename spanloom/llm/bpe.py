@@ -6,15 +6,17 @@ distinct words exactly once, whichever blocks ask for it, and sends every block
 the order it asked; the block then joins ids back to the words of its texts by position.
 Decoding joins ids to the vocabulary's pieces, whose number is fixed by the vocabulary.
 
-A block and a part hold a bounded share of the texts and of the distinct words; a frequent
-word costs one entry a block, not one a place.  Rows that are equal in key and text share a
-block; nothing else does by necessity.
+A block holds a bounded share of the texts; a frequent word costs one entry a block, not one a
+place.  Parts follow the vocabulary, which grows like the square root of a corpus, so a block's
+words go to far fewer parts than there are blocks.  Blocks are dealt by key, text and input
+partition, so rows that are equal in key and text do not all meet in one block.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
 import re
 import zlib
@@ -35,6 +37,9 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Texts of a block, and what a task packs at a time.
 BLOCK_BYTES = 8 << 20
 PACKED_BYTES = 8 << 20
+#: One part for so many times the square root of the corpus in bytes, and that many parts at least.
+PART_ROOTS = 2048
+PARTS = 64
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -183,8 +188,9 @@ def encode(
     path = path or vocabulary_path()
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(parallelism(spark), -(-total // block_bytes))
+    parts = min(n, max(PARTS, math.isqrt(total) // PART_ROOTS))
     body = F.coalesce(F.col(text), F.lit(""))
-    block = F.pmod(F.xxhash64(F.col(key), body), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64(F.col(key), body, F.spark_partition_id()), F.lit(n)).cast("int")
     slim = docs.select(block.alias("block"), F.col(key).alias("k"), body.alias("t"))
     key_type = slim.schema["k"].dataType.simpleString()
 
@@ -221,7 +227,7 @@ def encode(
                 for t in _unpack(rows.as_buffer())["t"].to_pylist():
                     distinct.update(words(t))
         for b in list(seen):
-            by = _by_part(seen.pop(b), n)
+            by = _by_part(seen.pop(b), parts)
             packed = [_pack(pa.table({"w": pa.array(ws, pa.string())})) for ws in by.values()]
             yield pa.RecordBatch.from_pydict(
                 {"part": pa.array(by, pa.int32()), "block": pa.array([b] * len(by), pa.int32()), "words": pa.array(packed, pa.binary())}
@@ -253,7 +259,7 @@ def encode(
             rows = _unpack(packed.as_buffer())
             keys += rows["k"].chunks
             found += [np.array([number[w] for w in words(t)], np.int32) for t in rows["t"].to_pylist()]
-        own = _by_part(number, n)
+        own = _by_part(number, parts)
         lengths, known, order = [np.empty(0, np.uint32)], [np.empty(0, _id_type(path))], []
         for p, packed in zip(right["part"].to_pylist(), right["answer"], strict=True):
             got = _unpack(packed.as_buffer())

@@ -42,3 +42,12 @@ def test_empty_table_and_odd_ids(spark, small):
     assert bpe.round_trip(small.limit(0)).count() == 0
     df = spark.createDataFrame([([464, None, 99_999, -3],), (None,), ([],)], "ids array<int>")
     assert [r.decoded for r in bpe.decode(df).collect()] == ["The", "", ""]
+
+
+def test_a_hot_row_and_few_parts(spark, monkeypatch):
+    """A third of all rows are equal, in many input partitions; there are fewer parts than blocks."""
+    monkeypatch.setattr(bpe, "PARTS", 3)
+    rows = [(1, "the same old text, again")] * 300 + [(i, f"another text number {i} of many") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = bpe.encode(df, block_bytes=1500).collect()
+    assert sorted((r.doc_id, r.ids) for r in got) == sorted((k, want(t)[0]) for k, t in rows)
