@@ -5,14 +5,17 @@ The models are kept in arrays sorted by n-gram hash with one column a language:
 log-probability of every n-gram that any language has seen, and the back-off weight of every
 context.  A text gets the language of lowest cross-entropy per character over its whole length.
 
-Fitting reads a bounded sample of labelled rows (``max_chars`` in all); n-grams are counted
-in the cluster and the counts, bounded by the sample, are smoothed on the driver.  Rejection
+Fitting reads a bounded sample of labelled rows: ``max_chars`` in all, of each row a window of at most
+``longest`` characters, of at most ``max_langs`` languages.  N-grams are counted
+in the cluster and the counts, bounded by the sample, are smoothed on the driver; a model of more
+than ``max_model_bytes`` is fitted again on half the sample, so what is broadcast is bounded.  Rejection
 limits are calibrated on another fold: the entropy that all but ``reject`` of a language's
 own documents stay below.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +28,8 @@ from .common import table
 ORDER = 4
 MAX_CHARS = 12_000_000
 LONGEST = 100_000
+MAX_LANGS = 256
+MAX_MODEL_BYTES = 512 << 20
 REJECT = 0.005
 UND = "und"
 BLANK, EDGE = 32, 1
@@ -39,16 +44,29 @@ def fold_of(key: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """Code point to its lower-case letter, or to the blank."""
+    """Code point to its lower-case letter, or to the blank; combining marks are part of words and stay."""
     out = np.full(0x110000, BLANK, np.uint32)
     for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
             out[c] = ord(low) if len(low) == 1 else c
+        elif c > 0x2FF and unicodedata.category(ch)[0] == "M":
+            out[c] = c
     return out
 
 
+@lru_cache(maxsize=1)
+def marks() -> np.ndarray:
+    """Whether a symbol is a combining mark: a text of these alone has no letter."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000)
+
+
+def has_letter(s: np.ndarray) -> bool:
+    s = s[s > BLANK]
+    return len(s) > 0 and not marks()[s].all()
+
+
 def symbols(text: str) -> np.ndarray:
     """The text as letters with single blanks, after ORDER - 1 edge symbols."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -80,6 +98,9 @@ class Model:
     def __init__(self, langs, grams, limits=None):
         self.langs, self.grams, self.limits = langs, grams, limits or {}
 
+    def size(self) -> int:
+        return sum(a.nbytes for level in self.grams.values() for a in level)
+
     def log_probabilities(self, s: np.ndarray) -> np.ndarray:
         """log p of each symbol of a text after its context, a column a language."""
         h = hashes(s)
@@ -107,7 +128,7 @@ class Model:
         """Cross-entropy per character of each text, a column a language; nan where a text has no letter."""
         parts = [symbols(t) for t in texts]
         out = np.full((len(parts), len(self.langs)), np.nan)
-        has = [i for i, p in enumerate(parts) if (p > BLANK).any()]
+        has = [i for i, p in enumerate(parts) if has_letter(p)]
         if not has:
             return out
         for a, b in _runs([len(parts[i]) for i in has], BATCH):
@@ -195,21 +216,28 @@ def smooth(langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray])
     return Model(langs, out)
 
 
-def sample(docs: DataFrame, folds: tuple[int, ...], key: str, text: str, lang: str, max_chars: int) -> DataFrame:
-    """Labelled rows (lang, text) of the folds, chosen by hash: about max_chars characters, spread evenly over languages."""
+def sample(
+    docs: DataFrame, folds: tuple[int, ...], key: str, text: str, lang: str, max_chars: int, longest: int = LONGEST, max_langs: int = MAX_LANGS
+) -> DataFrame:
+    """Labelled rows (lang, text) of the folds, chosen by a hash of key and text: about max_chars characters, spread evenly over languages.
+
+    Of a longer text a window of ``longest`` characters counts, at a place given by the hash.  Every language
+    has one row at least; beyond ``max_langs`` languages, those of most text.
+    """
     rows = docs.select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), fold_of(F.col(key)).alias("fold"),
-        (F.pmod(F.xxhash64(F.lit("langid"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)).alias("u"),
+        F.pmod(F.xxhash64(F.lit("langid"), F.col(key), F.col(text)), F.lit(1 << 30)).alias("hash"),
     )
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("fold").isin(*folds))
-    rows = rows.withColumn("n", F.length("text")).where(F.col("n").between(1, LONGEST))
-    totals = rows.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = {r["lang"]: r["total"] for r in totals.orderBy(F.col("total").desc(), "lang").limit(256).collect()}
+    rows = rows.withColumns({"n": F.length("text"), "u": F.col("hash") / float(1 << 30)}).where("n > 0")
+    totals = rows.groupBy("lang").agg(F.sum(F.least("n", F.lit(longest))).alias("total"), F.min("u").alias("first"))
+    shares = totals.orderBy(F.col("total").desc(), "lang").limit(max_langs).collect()
     if not shares:
         return rows.select("lang", "text").limit(0)
     each = max_chars / len(shares)
-    rate = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(min(1.0, each / v)))])
-    return rows.where(F.col("u") < rate[F.col("lang")]).select("lang", "text")
+    rate = F.create_map(*[x for r in shares for x in (F.lit(r["lang"]), F.lit(max(r["first"], min(1.0, each / r["total"]))))])
+    window = F.substring("text", F.pmod(F.col("hash"), F.greatest(F.lit(1), F.col("n") - longest + 1)).cast("int") + 1, F.lit(longest))
+    return rows.where(F.col("u") <= rate[F.col("lang")]).select("lang", window.alias("text"))
 
 
 def fit(
@@ -219,12 +247,16 @@ def fit(
     lang: str = "lang",
     max_chars: int = MAX_CHARS,
     reject: float = REJECT,
+    longest: int = LONGEST,
+    max_langs: int = MAX_LANGS,
+    max_model_bytes: int = MAX_MODEL_BYTES,
 ) -> Model | None:
     """A model learned from folds 2, 3 and 4 and calibrated on fold 1; None without labelled text.
 
-    At most the 256 languages with most text are learned.
+    The sample's bounds are ``max_chars``, ``longest`` and ``max_langs``, see ``sample``.
     """
-    rows = sample(docs, (2, 3, 4), key, text, lang, max_chars)
+    bounds = (longest, max_langs)
+    rows = sample(docs, (2, 3, 4), key, text, lang, max_chars, *bounds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, list[np.ndarray]] = {}
@@ -253,7 +285,9 @@ def fit(
     n = got["n"].to_numpy()
     langs = sorted(set(names))
     model = smooth(langs, [grams[names == k] for k in langs], [n[names == k] for k in langs])
-    checked = _score(sample(docs, (1,), key, text, lang, max_chars // 4).withColumnRenamed("lang", "k"), model)
+    if model.size() > max_model_bytes and max_chars > 1:
+        return fit(docs, key, text, lang, max_chars // 2, reject, longest, max_langs, max_model_bytes)
+    checked = _score(sample(docs, (1,), key, text, lang, max_chars // 4, *bounds).withColumnRenamed("lang", "k"), model)
     limits = checked.where("k = lang_pred").groupBy("k").agg(F.percentile_approx("entropy", 1 - reject, 1000).alias("limit"))
     model.limits = {r["k"]: r["limit"] for r in limits.collect()}
     return model
@@ -261,7 +295,7 @@ def fit(
 
 def _score(rows: DataFrame, model: Model | None) -> DataFrame:
     """(k, lang_pred, score, entropy) of (k, text) rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most max_model_bytes, see fit
     key_type = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
