@@ -191,14 +191,23 @@ def detect(lowered: str) -> list[Detection]:
             for n, r, pattern in by[k]:
                 for m in pattern.finditer(lowered):
                     label = m["id"].rstrip(".") if r.label == "spdx" else r.label
-                    found.append((Detection(m.start(), m.end(), label, r.priority), n))
-    found.sort(key=lambda x: (-x[0].priority, x[0].start - x[0].end, x[1], x[0].start))
-    kept: list[Detection] = []
-    starts: list[tuple[int, int]] = []
-    for d, _ in found:
-        if not any(a <= d.start and d.end <= b for a, b in starts):
+                    if label:
+                        found.append((Detection(m.start(), m.end(), label, r.priority), n))
+    return suppress(found)
+
+
+def suppress(found: list[tuple[Detection, int]]) -> list[Detection]:
+    """Detections (with their rules' numbers) that lie within no other of higher priority, or longer, or equal and of an earlier rule.
+
+    One sweep from left to right, longer intervals first: whatever may contain an interval comes
+    before it, and of each priority only the furthest end so far matters.
+    """
+    furthest: dict[int, int] = {}
+    kept = []
+    for d, _ in sorted(found, key=lambda x: (x[0].start, -x[0].end, -x[0].priority, x[1])):
+        if not any(end >= d.end for priority, end in furthest.items() if priority >= d.priority):
             kept.append(d)
-            starts.append((d.start, d.end))
+        furthest[d.priority] = max(furthest.get(d.priority, 0), d.end)
     return sorted(kept)
 
 
@@ -291,3 +300,28 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def license_places(spark, sf_dir: str) -> DataFrame:
+    """The part of ``op5_license_scan`` that SQL can express."""
+    return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+#: The base phrases in DuckDB, over all places of all words.
+PLACES_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), places AS (
+  SELECT r, doc_id, len(w) AS n_words, list_concat(
+    list_transform(list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license'), lambda i: {'at': i - 1, 'label': 'mit'}),
+    list_transform(list_filter(range(1, len(w)), lambda i: w[i] = 'apache' AND w[i + 1] = 'license'), lambda i: {'at': i - 1, 'label': 'apache'}),
+    list_transform(list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license'), lambda i: {'at': i - 1, 'label': 'gpl'})) AS p
+  FROM d
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base,
+  list_min(list_transform(p, lambda x: x['at'])) AS first_word, list_max(list_transform(p, lambda x: x['at'])) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x['label']))), ',') AS base_labels
+FROM places
+"""

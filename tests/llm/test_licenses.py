@@ -49,3 +49,58 @@ def test_containment_and_gate():
     assert len(L.rules()) > 200
     for k in keywords:  # a text with a keyword passes the gate, whatever white space it holds
         assert any(g in part for g in L.GATE for part in [k, *k.split()]), k
+
+
+def by_every_rule(text):
+    """All rules without the keyword gate, and each detection against each other one."""
+    lowered = re.sub(r"[\x20\x09-\x0D]+", " ", (text or "").translate(L._LOWER))
+    found = []
+    for n, r in enumerate(L.rules()):
+        for m in re.finditer(r.pattern, lowered):
+            label = m["id"].rstrip(".") if r.label == "spdx" else r.label
+            if label:
+                found.append((L.Detection(m.start(), m.end(), label, r.priority), n))
+
+    def over(a, na, b, nb):  # a suppresses b
+        if not (a.start <= b.start and b.end <= a.end):
+            return False
+        long = (a.end - a.start) - (b.end - b.start)
+        return (a.priority, long, -na) > (b.priority, 0, -nb)
+
+    return sorted(b for b, nb in found if not any(over(a, na, b, nb) for a, na in found))
+
+
+def test_labels_against_every_rule(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    parts = ["gpl ", "GPL-2.0-or-later ", "cc by-nc 4.0 ", "licensed under the apache license, version 2.0 ", "mit license ", "the ", "creative commons attribution 3.0 ",
+             "SPDX-License-Identifier: MIT ", "spdx-license-identifier: ... ", "lgpl 2.1 only ", "bsd license "]
+    import random
+
+    rnd = random.Random(1)
+    mixed = ["".join(rnd.choices(parts, k=rnd.randint(1, 25))) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate([*(r.text for r in docs.collect()), *mixed])]
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    labelled = 0
+    for i, t in rows:
+        want = by_every_rule(t)
+        assert [tuple(d) for d in got[i].detections] == [tuple(d) for d in want], t
+        base = set(filter(None, by_hand(t)[4].split(",")))
+        assert got[i].labels == ",".join(sorted(base | {d.label for d in want}))
+        doubt = 1.0
+        for d in want:
+            doubt *= 1 - min(0.99, d.priority / 60)
+        assert got[i].score == pytest.approx(max(1 - doubt, 0.9 if base else 0))
+        labelled += bool(want)
+    assert labelled > 250
+
+
+def test_many_detections_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    L.scan_text("gpl " * 100_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_an_identifier_of_dots_is_no_label():
+    assert L.scan_text("SPDX-License-Identifier: ... mit license")["labels"] == "mit"
