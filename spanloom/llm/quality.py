@@ -203,25 +203,34 @@ def judge(
     Returns (key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     failed_rules), and with ``with_row`` the whole input row as the struct ``row``.  ``kept`` is false where the base rules fail or a certified cutoff is
     exceeded.  Null and empty texts have no words and fail; null strata are a stratum of their
-    own; labels with a null key or quality are ignored, several labels of one key count as good
+    own, as are empty ones; labels with a null key or quality are ignored, several labels of one key count as good
     only if all are; repeated rows are judged each; an empty table gives no rows, empty labels
     leave the base rules alone; other columns are ignored.
     """
-    own = {"__key": F.col(key), "__stratum": F.coalesce(F.col(stratum).cast("string"), F.lit("")), "__text": F.col(text)}
+    # a mark before every name, so that null is apart from an empty one
+    named = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))
+    own = {"__key": F.col(key), "__stratum": named, "__text": F.col(text)}
     if with_row:
         own["__row"] = F.struct(*[F.col(c) for c in docs.columns])
-    measured = features(docs.select(*[c.alias(n) for n, c in own.items()]), "__text").drop("__text")
+    slim = docs.select(*[c.alias(n) for n, c in own.items()])
     numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines"]
-    # with whole rows to carry, the counts are taken again for the labelled ones rather than written out
-    narrow = measured if with_row else checkpointed(measured)
     marks = (
         labels.where(F.col(label_key).isNotNull() & F.col(quality).isNotNull())
         .groupBy(F.col(label_key).alias("__label"))
         .agg((F.min(quality) > 0).alias("__good"))
     )
+    # only labelled documents go into the cutoffs
+    joined = lambda rows: rows.join(marks, F.col("__key") == F.col("__label"))
+    if with_row:
+        # with whole rows to carry, the counts are taken again for the labelled ones rather than written out
+        narrow = features(slim, "__text").drop("__text")
+        labelled = features(joined(slim.drop("__row")), "__text")
+    else:
+        narrow = checkpointed(features(slim, "__text").drop("__text"))
+        labelled = joined(narrow)
     # the documents of a key that repeats count once: a label is one observation
-    seen = narrow.groupBy("__key").agg(F.min(F.struct("__stratum", *numbers)).alias("x")).select("__key", "x.*")
-    labelled = seen.where(F.col("__key").isNotNull()).join(marks, F.col("__key") == F.col("__label"))
+    seen = labelled.groupBy("__key", "__good").agg(F.min(F.struct("__stratum", *numbers)).alias("x"))
+    labelled = seen.select("__key", "__good", "x.*")
     cutoffs = certified_cutoffs(labelled, "__stratum", "__good", **risk)
     limits = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
     limits = checkpointed(limits)
@@ -252,8 +261,11 @@ _RULES_SQL = {
     "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
 }
 _TESTS = sum(len(c) for c in GRID.values())
-#: The same verdicts in DuckDB; the binomial tail is summed up term by term.
-OP4_SQL = f"""
+
+
+def quality_sql(risk: float, level: float) -> str:
+    """The same verdicts in DuckDB; the binomial tail is summed up term by term."""
+    return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
 grams AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM d)),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
@@ -274,8 +286,8 @@ lines AS (
   FROM ({" UNION ALL ".join(f"SELECT stratum, good, '{n}' AS rule, {v} AS v FROM observed" for n, v in _RULES_SQL.items())})
   JOIN (VALUES {", ".join(f"('{n}', CAST({c} AS DOUBLE))" for n, cs in GRID.items() for c in cs)}) AS g(rule, cutoff) USING (rule) GROUP BY ALL
 ), sure AS (
-  SELECT *, gain - {GOOD_COSTS} * k AS worth FROM (SELECT *, {RISK / len(GRID)} AS p FROM tested)
-  WHERE gain > 0 AND k < n * p AND {LEVEL} / ({_TESTS} * (SELECT count(DISTINCT stratum) FROM observed))
+  SELECT *, gain - {GOOD_COSTS} * k AS worth FROM (SELECT *, {risk / len(GRID)} AS p FROM tested)
+  WHERE gain > 0 AND k < n * p AND {level} / ({_TESTS} * (SELECT count(DISTINCT stratum) FROM observed))
     >= list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))))
 ), best AS (
   SELECT * FROM sure WHERE worth > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY worth DESC, cutoff DESC) = 1
@@ -286,3 +298,15 @@ lines AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM judged
 """
+
+
+OP4_SQL = quality_sql(RISK, LEVEL)
+#: A risk at which the labels of small tables certify cutoffs too.
+LENIENT = 0.4
+
+
+def quality_rules_lenient(spark, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), risk=LENIENT)
+
+
+LENIENT_SQL = quality_sql(LENIENT, LEVEL)
