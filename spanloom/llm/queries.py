@@ -22,6 +22,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality.OP4_SQL, "quality_rules_lenient": quality.LENIENT_SQL, "license_places": licenses.PLACES_SQL, "op7_mixing": mixing.OP7_SQL, "op8_topk": topk.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality.OP4_SQL, "quality_rules_lenient": quality.LENIENT_SQL, "license_places": licenses.PLACES_SQL, "op7_mixing": mixing.OP7_SQL, "op8_topk": topk.OP8_SQL, "op9_sharding": sharding.OP9_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -104,3 +104,27 @@ def assign(
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"))
+
+
+def _winner(shards: int) -> str:
+    hashed = f"CAST('0x' || substr(md5('{SEED}:' || n || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)"
+    return f"list_sort(list_transform(range({shards}), lambda n: {{'score': -ln(({hashed} + 0.5) / {TWO52}), 'n': n}}))[1].n"
+
+
+#: The same shards and slots in DuckDB; the checksum's table is made by its rule, a text's bytes are folded one by one.
+OP9_SQL = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(b AS BIGINT))) AS t),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes
+  FROM documents
+), sums AS (
+  SELECT doc_id, CAST(size AS BIGINT) AS size, xor(4294967295, list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS crc FROM d, crc
+), placed AS (
+  SELECT *, {_winner(SHARDS)} AS shard, {_winner(SHARDS + 1)} AS grown,
+    CAST('0x' || substr(md5('{SEED}:slot:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || crc || ':' || size), 1, 13) AS BIGINT) AS u
+  FROM sums
+)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY u, doc_id NULLS FIRST, size, crc) - 1 AS BIGINT) AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM placed
+"""
