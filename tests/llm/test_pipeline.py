@@ -87,3 +87,30 @@ def test_mix_of_one_id(spark):
     assert out and {tuple(r) for r in out} <= set(rows)
     for s, t in targets(sizes).items():
         assert abs(got[s] - t) <= 0.1 * t, (s, got[s], t)
+
+
+def test_awkward_rows_that_stay(spark, tmp_path):
+    """Nulls, repeats, long texts and clashing extra columns that the first stage keeps go through all stages."""
+    text = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    schema = SCHEMA + ", n_words string, bucket string, s binary, label int, k int"
+    rows = [(None, text("a", 80), None, None, None), (1, text("a", 81), "en", "s", 1), (2, text("b", 70), None, "", 2), (2, text("b", 70), None, "", 2), (2, text("c", 60_000), "de", None, None),
+            (3, None, None, None, None), (4, "", "en", "s", 0), (None, "x@y.org 4111111111111111 " + text("d", 90), "", "t", 9)]
+    docs = spark.createDataFrame([(*r, "x", None, b"y", 1, None) for r in rows], schema)
+    kept = None
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, D)
+        if name != "bpe":
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        got = Counter((r.doc_id, (r.text or "")[:2]) for r in docs.collect()) if name != "bpe" else docs.count()
+        if name == "quality":
+            assert got == Counter([(None, "a0"), (1, "a0"), (2, "b0"), (2, "b0"), (2, "c0"), (None, "x@")])
+        if name == "near_duplicates":
+            assert got == Counter([(1, "a0"), (2, "b0"), (2, "c0"), (None, "x@")])
+        if name == "personal_data":
+            assert sum(got.values()) == 4 and (None, "x@") not in got
+        if name == "mixing":
+            kept = sum(got.values())
+            assert kept > 0
+    assert got == kept
