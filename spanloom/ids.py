@@ -33,9 +33,22 @@ def fnv1a64(data: Column) -> Column:
     return F.when(data.isNotNull(), F.aggregate(octets, start, step, lambda s: F.shiftleft(s["hi"], 32).bitwiseOR(s["lo"])))
 
 
+def unsigned(text: Column) -> Column:
+    """A text of digits as an unsigned 64-bit number, in the BIGINT of the same bits; null for any other text and beyond 64 bits."""
+    digits = F.regexp_extract(text, r"^\+?0*(\d{1,20})$", 1)
+    value = F.when(digits != "", digits).cast("decimal(20,0)")
+    high = value > F.lit(str((1 << 63) - 1)).cast("decimal(20,0)")
+    wrapped = (value - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return (
+        F.when(value > F.lit(str((1 << 64) - 1)).cast("decimal(20,0)"), F.lit(None).cast("long"))
+        .when(high, F.when(wrapped < F.lit(str(1 << 63)).cast("decimal(20,0)"), wrapped).cast("long").bitwiseXOR(F.lit(-(1 << 63))))
+        .otherwise(F.when(~high, value).cast("long"))
+    )
+
+
 def numeric_id(text: Column) -> Column:
-    """A number or numeric text as it is, any other text by its hash."""
-    return F.coalesce(F.try_to_number(F.when(text.rlike(r"^\d{1,18}$"), text), F.lit("9" * 18)).cast("long"), fnv1a64(text.cast("binary")))
+    """A number or numeric text of 64 bits as it is, any other text by its hash."""
+    return F.coalesce(unsigned(text), fnv1a64(text.cast("binary")))
 
 
 def little_endian(value: Column) -> Column:

@@ -2,8 +2,9 @@
 
 Scalar fields take the last value that is not null in the order (seq, arrival); logs are the
 ordered union without repeats; attributes are merged key by key, later events winning.  All of
-it is one aggregation on (trace_id, span_id), so unused fields are pruned from the scan and every
-later per-trace operator can reuse its partitioning.
+it is one aggregation on (trace_id, span_id), so unused fields are pruned from the scan.  Events that
+are dealt by trace_id are folded where they are, and per-trace operators over the spans need no
+shuffle either; other events are summed up in part and shuffled by span.
 """
 
 from __future__ import annotations
@@ -40,20 +41,29 @@ def first_value(column: str | Column, order: Column) -> Column:
 
 
 def merge_logs(order: Sequence[str] = ("seq", "_arrival")) -> Column:
-    rows = F.array_sort(F.collect_list(F.when(F.col("logs").isNotNull(), F.struct(*order, "logs"))))
+    rows = F.sort_array(F.collect_list(F.when(F.col("logs").isNotNull(), F.struct(*order, "logs"))))
     return F.array_distinct(F.flatten(F.transform(rows, lambda x: x["logs"])))
 
 
 def last_wins(entries: Column) -> Column:
-    """A map of (key, value) entries; of equal keys the last one counts."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_arrays(
-        keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])
-    )
+    """A map of (key, value) entries; of equal keys the last one counts.
+
+    Entries with repeated keys are sorted by key and place, and of each run the last one stays.
+    """
+    keys = F.transform(entries, lambda e: e["key"])
+    placed = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value"))))
+
+    def ends(run: Column) -> Column:
+        last = F.filter(run, lambda e, i: ~F.coalesce(F.get(run, i + 1)["key"] == e["key"], F.lit(False)))
+        return F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+
+    # as the argument of a lambda the sorted entries are made once
+    kept = F.get(F.transform(F.array(placed), ends), F.lit(0))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(entries)).otherwise(F.map_from_entries(kept))
 
 
 def merge_attrs(order: Sequence[str] = ("seq", "_arrival")) -> Column:
-    rows = F.array_sort(
+    rows = F.sort_array(
         F.collect_list(F.when(F.col("attrs").isNotNull(), F.struct(*order, F.map_entries("attrs").alias("e"))))
     )
     return last_wins(F.flatten(F.transform(rows, lambda x: x["e"])))

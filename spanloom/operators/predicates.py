@@ -103,7 +103,11 @@ def truth(value: str | bool | None) -> bool:
     return value is True or str(value).strip().lower() in ("1", "true", "yes", "on")
 
 
+def page_size(limit: int | None = None) -> int:
+    """Limits are held to 1..500, 50 by default."""
+    return 50 if limit is None else max(1, min(500, limit))
+
+
 def page(df: DataFrame, order: list[Column], cursor: int = 0, limit: int | None = None) -> DataFrame:
-    """A page in the given order; limits are held to 1..500, 50 by default."""
-    n = 50 if limit is None else max(1, min(500, limit))
-    return df.orderBy(*order).offset(max(0, cursor)).limit(n)
+    """A page in the given order."""
+    return df.orderBy(*order).offset(max(0, cursor)).limit(page_size(limit))

@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import attr_label, cost, json_literal, shorten
+from ..ids import event_id, unsigned_order
 from ..schema import EXTERNAL, SCALARS, TOKENS
-from .fold import first_value, status_label
+from .fold import deduplicate, first_value, status_label
 
 SPAN_ORDER = ("trace_id", "span_id")
+#: Piles of matches that a search counts and cuts before they meet.
+PILES = 64
 
 
 def is_error() -> Column:
@@ -69,11 +72,10 @@ def cost_by_agent(spans: DataFrame) -> DataFrame:
 def console_sessions(spans: DataFrame, matching: Column | None = None) -> DataFrame:
     """Sessions as a console lists them; with a predicate, whole sessions that have a matching span."""
     own = spans.where("session_id is not null")
-    if matching is not None:
-        own = own.join(own.where(matching).select("session_id").distinct(), "session_id", "left_semi")
     order = F.struct(*SPAN_ORDER)
     label = status_label()
-    return own.groupBy("session_id").agg(
+    found = own.groupBy("session_id").agg(
+        F.bool_or(F.lit(True) if matching is None else F.coalesce(matching, F.lit(False))).alias("__match"),
         first_value("external_session_id", order).alias("external_session_id"),
         F.coalesce(first_value("agent_name", order), F.concat(F.lit("会话 "), F.first("session_id").cast("string"))).alias("title"),
         F.count_distinct("trace_id").alias("turn_count"),
@@ -83,6 +85,7 @@ def console_sessions(spans: DataFrame, matching: Column | None = None) -> DataFr
         F.bool_or(label == "run").alias("has_running"),
         F.min("trace_id").alias("first_trace"),
     )
+    return (found if matching is None else found.where("__match")).drop("__match")
 
 
 def sessions_page(sessions: DataFrame, text: str | None = None) -> DataFrame:
@@ -166,18 +169,32 @@ def search_order(sort: str | None) -> list[Column]:
 def trace_search(spans: DataFrame, matching: Column, sort: str | None = None, cursor: int = 0, limit: int | None = None) -> DataFrame:
     """Matching spans in order, a page of them, with the total before paging.
 
-    The total is a second aggregation of the same predicate; its one row is joined to the page.
+    Matches are dealt into PILES, each of which counts its rows and keeps as many as the page may
+    need; only those meet.  So the fold runs once for the page and the total.
     """
-    from .predicates import page
+    from .predicates import page, page_size
+
+    order = search_order(sort)
+    pile = F.pmod(F.xxhash64(*SPAN_ORDER), F.lit(PILES)).alias("__pile")
+    whole = Window.partitionBy("__pile")
+    found = spans.where(matching).select("*", pile)
+    kept = found.withColumns({"__n": F.count("*").over(whole), "__r": F.row_number().over(whole.orderBy(*order))})
+    kept = kept.where(F.col("__r") <= max(0, cursor) + page_size(limit))
+    total = F.sum(F.when(F.col("__r") == 1, F.col("__n"))).over(Window.partitionBy()).alias("total")
+    return page(kept.select("*", total).drop("__pile", "__n", "__r"), order, cursor, limit)
 
-    found = spans.where(matching)
-    total = found.agg(F.count("*").alias("total"))
-    return page(found, search_order(sort), cursor, limit).crossJoin(F.broadcast(total))
 
+def log_events(events: DataFrame, unique: bool = False) -> DataFrame:
+    """Raw events with logs: each identity once (the first to arrive), with its number and its place in the trace by time, sequence and id.
 
-def log_events(events: DataFrame) -> DataFrame:
-    """Raw events with logs, each identity once, ordered by time within the trace when paged."""
-    return events.where(F.size("logs") > 0).select("trace_id", "span_id", "ts", "seq", "event_type", "ext_span_id", "logs")
+    ``unique`` skips the de-duplication where the source guarantees single events.
+    """
+    once = events if unique else deduplicate(events)
+    named = once.where(F.size("logs") > 0).withColumn("event_id", event_id(F.col("ext_span_id"), F.col("seq"), F.col("event_type")))
+    order = Window.partitionBy("trace_id").orderBy("ts", "seq", unsigned_order(F.col("event_id")))
+    return named.withColumn("place", (F.row_number().over(order) - 1).cast("long")).select(
+        "trace_id", "span_id", "ts", "seq", "event_type", "ext_span_id", "event_id", "place", "logs"
+    )
 
 
 def waterfall(spans: DataFrame) -> DataFrame:
@@ -266,7 +283,8 @@ def loops(spans: DataFrame, key: str = "loop_id") -> DataFrame:
 
 def spans_of_matching_traces(spans: DataFrame, matching: Column) -> DataFrame:
     """All spans of every trace that has a matching one."""
-    return spans.join(spans.where(matching).select("trace_id").distinct(), "trace_id", "left_semi")
+    has = F.max(F.coalesce(matching, F.lit(False))).over(Window.partitionBy("trace_id"))
+    return spans.withColumn("__match", has).where("__match").drop("__match")
 
 
 def task_traces(spans: DataFrame, fingerprint: str, attrs: dict[str, str] | None = None) -> DataFrame:

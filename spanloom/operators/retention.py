@@ -18,12 +18,14 @@ def has_any(attrs: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(F.arrays_overlap(F.map_keys(attrs), F.array(*[F.lit(k) for k in keys])), F.lit(False))
 
 
-def candidates(spans: DataFrame, matching: Column | None = None, cutoff: int | None = None) -> DataFrame:
-    """Traces that match and whose last event is not after the cutoff."""
-    own = spans if matching is None else spans.where(matching)
-    ids = own.select("trace_id").distinct()
-    bounds = spans.groupBy("trace_id").agg(F.max("max_ts").alias("last_ts"))
-    found = ids.join(bounds, "trace_id")
+def candidates(spans: DataFrame, matching: Column | None = None, cutoff: int | None = None, sizes: bool = False) -> DataFrame:
+    """Traces that match and whose last event is not after the cutoff; with ``sizes`` also their spans, events and bytes."""
+    match = F.lit(True) if matching is None else F.coalesce(matching, F.lit(False))
+    more = [F.count("*").alias("span_count"), F.sum("event_count").alias("event_count"), F.sum(estimated_bytes()).alias("estimated_bytes")] if sizes else []
+    found = spans.groupBy("trace_id").agg(F.bool_or(match).alias("__match"), F.max("max_ts").alias("last_ts"), *more)
+    if matching is not None:
+        found = found.where("__match")
+    found = found.drop("__match")
     return found if cutoff is None else found.where(F.col("last_ts") <= cutoff)
 
 
@@ -48,22 +50,20 @@ def protections(annotations: DataFrame, associations: DataFrame, kinds: Sequence
 def plan(found: DataFrame, protected: DataFrame) -> DataFrame:
     """Candidates with their reasons, in fixed order, and whether they may be deleted."""
     rank = F.array_position(F.array(*[F.lit(r) for r in REASONS]), F.col("reason"))
-    reasons = protected.groupBy("trace_id").agg(F.array_sort(F.collect_set(F.struct(rank.alias("r"), "reason"))).alias("rs"))
+    reasons = protected.groupBy("trace_id").agg(F.sort_array(F.collect_set(F.struct(rank.alias("r"), "reason"))).alias("rs"))
     joined = found.join(reasons, "trace_id", "left")
     return joined.select(
-        "trace_id", "last_ts", F.coalesce(F.array_join(F.transform("rs", lambda x: x["reason"]), ","), F.lit("")).alias("reasons"),
+        *found.columns, F.coalesce(F.array_join(F.transform("rs", lambda x: x["reason"]), ","), F.lit("")).alias("reasons"),
         F.col("rs").isNull().alias("deletable"),
     )
 
 
-def plan_stats(spans: DataFrame, planned: DataFrame) -> DataFrame:
-    """Traces, spans, events and bytes of candidates, protected and deletable ones."""
+def plan_stats(planned: DataFrame) -> DataFrame:
+    """Traces, spans, events and bytes of candidates, protected and deletable ones, of a plan with ``sizes``."""
     sets = F.explode(F.array(F.lit("candidate"), F.when(F.col("deletable"), "deletable").otherwise("protected"))).alias("part")
-    return (
-        spans.join(planned.select("trace_id", "deletable"), "trace_id").select("trace_id", "event_count", estimated_bytes().alias("b"), sets)
-        .groupBy("part")
-        .agg(F.count_distinct("trace_id").alias("trace_count"), F.count("*").alias("span_count"), F.sum("event_count").alias("event_count"), F.sum("b").alias("estimated_bytes"))
-    )
+    return planned.select("*", sets).groupBy("part").agg(
+        F.count("*").alias("trace_count"), *[F.sum(c).alias(c) for c in ("span_count", "event_count", "estimated_bytes")]
+    )
 
 
 def apply(planned: DataFrame, events: DataFrame, live_after: int) -> tuple[DataFrame, DataFrame]:

@@ -30,7 +30,7 @@ def span_documents(events: DataFrame) -> DataFrame:
         if c not in events.columns:
             events = events.withColumn(c, F.lit(None).cast("string"))
     return events.groupBy("trace_id", "span_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", event_text().alias("t")))), lambda x: x["t"]), " ").alias("text")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", event_text().alias("t")))), lambda x: x["t"]), " ").alias("text")
     )
 
 
@@ -57,14 +57,16 @@ def bm25(
     """The k best documents: (key, score), score descending, key ascending.
 
     Statistics are those of the whole corpus; ``matching`` filters afterwards.  Each text is cut
-    once: only its length and the query's term counts leave the scan, and those narrow rows are
-    kept for the statistics and the scores.
+    once: only its length and the query's term counts leave the scan, and the statistics and the
+    scores read one exchange of those narrow rows.
     """
     terms = sorted(set(python_tokens(query) if query_tokens is None else query_tokens))
     extra = [] if matching is None else [matching.alias("__match")]
     cut = docs.select(*key, *extra, tokenize(F.col(text)).alias("__t"))
     tf = [_count("__t", t).alias(f"tf_{i}") for i, t in enumerate(terms)]
-    narrow = cut.select(*key, *(["__match"] if extra else []), F.size("__t").alias("dl"), *tf).persist()
+    kept = [*key, *(["__match"] if extra else [])]
+    # both readers need these columns for the dealing, so they share one exchange of narrow rows
+    narrow = cut.select(*kept, F.size("__t").alias("dl"), *tf).repartition(*kept)
     stats = narrow.agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]
     )

@@ -2,79 +2,113 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import attr_label
-from .fold import first_value
 from .readmodels import cache_coverage, console_actor, is_error, token_sums
 
 MAX_DEPTH = 64
 
 
-def parents(spans: DataFrame) -> DataFrame:
-    """Every span with whether its parent is there: a missing parent makes it a root."""
-    up = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("parent_found"))
-    return spans.join(up, ["trace_id", "parent_span_id"], "left").withColumn("parent_found", F.coalesce("parent_found", F.lit(False)))
+def _meetings(spans: DataFrame, *columns: str) -> DataFrame:
+    """Two rows a span: where it is a parent (``child`` false, at its own id) and where it is a child (at its parent's id)."""
+    roles = F.array(
+        F.struct(F.col("span_id").alias("at"), F.lit(False).alias("child")), F.struct(F.col("parent_span_id").alias("at"), F.lit(True).alias("child"))
+    )
+    return spans.select("trace_id", "span_id", *columns, F.inline(roles))
 
 
 def trace_tree(spans: DataFrame) -> DataFrame:
-    """Roots and, for each span with children, the children by id."""
-    linked = parents(spans.select("trace_id", "span_id", "parent_span_id"))
-    return linked.select(
-        "trace_id", F.when(F.col("parent_found"), F.col("parent_span_id")).alias("parent"), "span_id"
-    ).groupBy("trace_id", "parent").agg(F.sort_array(F.collect_list("span_id")).alias("children"))
+    """Roots and, for each span with children, the children by id; a missing parent makes a root.
+
+    Parents and children meet by a grouping, so the spans are read once.
+    """
+    met = _meetings(spans).groupBy("trace_id", "at").agg(
+        (~F.bool_and("child")).alias("found"), F.collect_list(F.when(F.col("child"), F.col("span_id"))).alias("children")
+    )
+    linked = met.select("trace_id", F.when(F.col("found"), F.col("at")).alias("parent"), F.explode("children").alias("span_id"))
+    return linked.groupBy("trace_id", "parent").agg(F.sort_array(F.collect_list("span_id")).alias("children"))
+
+
+#: Stands for no parent in maps of parents.
+NO_SPAN = -(1 << 63)
+
+
+def _parent_map() -> Column:
+    """Aggregate: the parents of a trace's spans."""
+    return F.map_from_entries(F.collect_list(F.struct("span_id", F.coalesce("parent_span_id", F.lit(NO_SPAN)).alias("p"))))
+
+
+def _climb(span: Column) -> Column:
+    """Parent hops of a span over the map ``up``; a missing parent still counts as one; 64 hops at most, one more on a cycle.
+
+    No path has more hops than the trace has spans; one that does not end by then is on a cycle.
+    """
+    nothing = F.lit(None).cast("long")
+
+    def step(state: Column, _: Column) -> Column:
+        parent = F.when(state["at"].isNotNull(), F.col("up")[state["at"]])
+        real = parent.isNotNull() & (parent != F.lit(NO_SPAN))
+        return F.struct(F.when(real, parent).otherwise(nothing).alias("at"), (state["n"] + F.when(real, 1).otherwise(0)).alias("n"))
+
+    hops = F.sequence(F.lit(0), F.least(F.lit(MAX_DEPTH), F.size("up")))
+    endless = lambda s: F.when(s["at"].isNotNull(), MAX_DEPTH + 1).otherwise(s["n"])
+    return F.aggregate(hops, F.struct(span.alias("at"), F.lit(0).alias("n")), step, endless).cast("long")
 
 
 def depths(spans: DataFrame) -> DataFrame:
-    """Parent hops of every span; a missing parent still counts as one; 64 hops at most, one more on a cycle.
+    """Parent hops of every span, at most 64 and one more on a cycle.
 
     Each trace walks within one row, over the map of its spans' parents, so there is one shuffle
     on the trace and no recursion over the table.
     """
-    nothing = F.lit(None).cast("long")
-    ups = spans.groupBy("trace_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("span_id", F.coalesce("parent_span_id", F.lit(-(1 << 63))).alias("p")))).alias("up"),
-        F.collect_list("span_id").alias("ids"),
-    )
-    hops = F.sequence(F.lit(0), F.lit(MAX_DEPTH))
+    ups = spans.groupBy("trace_id").agg(_parent_map().alias("up"), F.collect_list("span_id").alias("ids"))
+    return ups.select("trace_id", F.inline(F.transform("ids", lambda i: F.struct(i.alias("span_id"), _climb(i).alias("depth")))))
 
-    def climb(span: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            parent = F.when(state["at"].isNotNull(), F.col("up")[state["at"]])
-            real = parent.isNotNull() & (parent != F.lit(-(1 << 63)))
-            return F.struct(F.when(real, parent).otherwise(nothing).alias("at"), (state["n"] + F.when(real, 1).otherwise(0)).alias("n"))
 
-        return F.aggregate(hops, F.struct(span.alias("at"), F.lit(0).alias("n")), step, lambda s: s["n"])
+def walk(spans: list[tuple[int, int | None]]) -> list[int]:
+    """Ids of (id, parent) pairs, depth first from the roots, children by id; of any depth.
 
-    return ups.select("trace_id", F.explode(F.transform("ids", lambda i: F.struct(i.alias("span_id"), climb(i).alias("depth")))).alias("x")).select(
-        "trace_id", "x.span_id", F.col("x.depth").cast("long").alias("depth")
-    )
+    A missing parent makes a root; spans on a cycle hang from no root and are left out.
+    """
+    known = {s for s, _ in spans}
+    children: dict[int | None, list[int]] = {}
+    for s, p in sorted(spans, key=lambda x: x[0], reverse=True):
+        children.setdefault(p if p in known else None, []).append(s)
+    out, open_ = [], children.get(None, [])
+    while open_:
+        s = open_.pop()
+        out.append(s)
+        open_ += children.get(s, ())
+    return out
 
 
 def depth_first(spans: DataFrame) -> DataFrame:
-    """Place of each span on a depth-first walk from the roots, children by id.
+    """Place of each span on a depth-first walk of its trace, see ``walk``; trees may be of any depth.
 
-    A span's path of ids from its root sorts as the walk does; spans on a cycle hang from no root and are left out.
+    A trace's ids are one row; the walk itself, which has no form as an expression, runs over Arrow batches.
     """
-    linked = parents(spans.select("trace_id", "span_id", "parent_span_id"))
-    ups = linked.groupBy("trace_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("span_id", F.when(F.col("parent_found"), F.col("parent_span_id")).otherwise(F.lit(-(1 << 63))).alias("p")))).alias("up"),
-        F.collect_list("span_id").alias("ids"),
-    )
-
-    def path(span: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            parent = F.col("up")[F.get(state, F.lit(0))]
-            return F.when(parent.isNotNull() & (parent != F.lit(-(1 << 63))) & (F.size(state) <= MAX_DEPTH), F.concat(F.array(parent), state)).otherwise(state)
+    traces = spans.groupBy("trace_id").agg(F.collect_list(F.struct("span_id", "parent_span_id")).alias("spans"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_DEPTH)), F.array(span), step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            walks = [walk([(x["span_id"], x["parent_span_id"]) for x in row]) for row in batch["spans"].to_pylist()]
+            sizes = [len(w) for w in walks]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(batch["trace_id"].to_numpy(), sizes), pa.int64()),
+                    pa.array(chain.from_iterable(walks), pa.int64()),
+                    pa.array(chain.from_iterable(map(range, sizes)), pa.int64()),
+                ],
+                names=["trace_id", "span_id", "place"],
+            )
 
-    paths = ups.select("trace_id", F.explode(F.transform("ids", lambda i: F.struct(i.alias("span_id"), path(i).alias("path")))).alias("x"), "up")
-    rooted = paths.where(F.col("up")[F.get("x.path", F.lit(0))] == F.lit(-(1 << 63)))
-    order = Window.partitionBy("trace_id").orderBy("path")
-    return rooted.select("trace_id", "x.span_id", "x.path").select(
-        "trace_id", "span_id", (F.row_number().over(order) - 1).cast("long").alias("place")
-    )
+    return traces.mapInArrow(run, "trace_id long, span_id long, place long")
 
 
 def step_kind() -> Column:
@@ -97,12 +131,11 @@ def span_failed() -> Column:
 
 
 def trajectories(spans: DataFrame) -> DataFrame:
-    """Each trace as its ordered steps, their signature and a summary."""
-    deep = spans.join(depths(spans), ["trace_id", "span_id"]).withColumn("step", step_key())
-    order = F.struct("depth", "span_id")
-    steps = F.transform(F.sort_array(F.collect_list(F.struct("depth", "span_id", "step"))), lambda x: x["step"])
-    out = deep.groupBy("trace_id").agg(
-        steps.alias("steps"),
+    """Each trace as its ordered steps, their signature and a summary: one grouping of the folded spans."""
+    item = F.struct("span_id", F.col("step"), "external_trace_id", "session_id")
+    out = spans.withColumn("step", step_key()).groupBy("trace_id").agg(
+        _parent_map().alias("up"),
+        F.collect_list(item).alias("items"),
         F.count("*").alias("span_count"),
         F.coalesce(F.sum("event_count"), F.lit(0)).alias("event_count"),
         F.sum(F.coalesce("duration_ns", F.lit(0))).alias("total_duration_ns"),
@@ -110,26 +143,34 @@ def trajectories(spans: DataFrame) -> DataFrame:
         *cache_coverage(),
         F.bool_or(is_error()).alias("has_error"),
         (~F.bool_or(span_failed())).alias("success"),
-        first_value("external_trace_id", order).alias("external_trace_id"),
-        first_value("session_id", order).alias("session_id"),
     )
-    return out.withColumns({"signature": F.array_join("steps", ">"), "status": F.when(F.col("has_error"), "error").otherwise("ok")})
+    placed = F.transform("items", lambda x: F.struct(_climb(x["span_id"]).alias("depth"), x["span_id"].alias("span_id"), x.alias("x")))
+    # one row stays one row: the sorted steps are made once and read by name
+    rest = [c for c in out.columns if c not in ("up", "items")]
+    out = out.select(*rest, F.inline(F.array(F.struct(F.sort_array(placed).alias("path")))))
+
+    def first(name: str) -> Column:
+        return F.get(F.filter(F.transform("path", lambda p: p["x"][name]), lambda v: v.isNotNull()), F.lit(0))
+
+    return out.select(
+        "trace_id", F.transform("path", lambda p: p["x"]["step"]).alias("steps"), *rest[1:],
+        first("external_trace_id").alias("external_trace_id"), first("session_id").alias("session_id"),
+    ).withColumns({"signature": F.array_join("steps", ">"), "status": F.when(F.col("has_error"), "error").otherwise("ok")})
+
+
+#: Piles that the traces of one signature are dealt into when its examples are looked for.
+PILES = 64
 
 
 def trajectory_groups(paths: DataFrame) -> DataFrame:
     """Traces with one signature; three lowest ids as examples.
 
-    The examples come from a ranked window, which keeps three rows a signature before the shuffle.
+    Traces of a signature are dealt into piles that mark their three lowest ids, so a frequent
+    signature is not ordered in one task, and its group collects three ids a pile.
     """
-    ranked = Window.partitionBy("signature").orderBy("trace_id")
-    lowest = (
-        paths.select("signature", "trace_id")
-        .withColumn("r", F.row_number().over(ranked))
-        .where("r <= 3")
-        .groupBy("signature")
-        .agg(F.sort_array(F.collect_list("trace_id")).alias("examples"))
-    )
-    summed = paths.groupBy("signature").agg(
+    pile = F.pmod(F.xxhash64("trace_id"), F.lit(PILES))
+    ranked = Window.partitionBy("signature", pile).orderBy("trace_id")
+    summed = paths.withColumn("r", F.row_number().over(ranked)).groupBy("signature").agg(
         F.count("*").alias("trace_count"),
         F.sum("span_count").alias("span_count"),
         F.count_if("success").alias("success_count"),
@@ -137,8 +178,9 @@ def trajectory_groups(paths: DataFrame) -> DataFrame:
         F.sum("total_duration_ns").alias("total_duration_ns"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
+        F.collect_list(F.when(F.col("r") <= 3, F.col("trace_id"))).alias("examples"),
     )
-    return summed.join(lowest, "signature")
+    return summed.withColumn("examples", F.slice(F.sort_array("examples"), 1, 3))
 
 
 def groups_page(groups: DataFrame, best: bool = False, limit: int = 50) -> DataFrame:
@@ -149,9 +191,11 @@ def groups_page(groups: DataFrame, best: bool = False, limit: int = 50) -> DataF
 def trace_diff(paths: DataFrame, base: int, candidate: int) -> DataFrame:
     """How a candidate trace differs from a base: common leading steps, the rest of both, and deltas."""
     fields = ("steps", "signature", "total_duration_ns", "input_tokens", "output_tokens", "span_count")
-    b = paths.where(F.col("trace_id") == base).select(*[F.col(c).alias(f"b_{c}") for c in fields])
-    c = paths.where(F.col("trace_id") == candidate).select(*[F.col(x).alias(f"c_{x}") for x in fields])
-    both = b.crossJoin(c)  # one row each
+    sides = {"b": base, "c": candidate}
+    both = paths.where(F.col("trace_id").isin(base, candidate)).groupBy().agg(
+        *[F.max(F.when(F.col("trace_id") == i, F.struct(*fields))).alias(s) for s, i in sides.items()]
+    )
+    both = both.where("b is not null and c is not null").select(*[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in sides for f in fields])
     n = F.least(F.size("b_steps"), F.size("c_steps"))
     same = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("b_steps", i) != F.element_at("c_steps", i))
     prefix = F.coalesce(F.array_min(F.when(n > 0, same)) - 1, n)
@@ -187,10 +231,14 @@ def agent_nodes(spans: DataFrame, kind: str = "engine") -> DataFrame:
 def agent_edges(spans: DataFrame, kind: str = "engine") -> DataFrame:
     """Calls from one actor to another: parent and child spans of different actors."""
     named = spans.select("trace_id", "span_id", "parent_span_id", actor(kind).alias("actor"))
-    up = named.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("actor").alias("source"))
-    return (
-        named.join(up, ["trace_id", "parent_span_id"])
-        .where("source <> actor")
-        .groupBy("trace_id", "source", F.col("actor").alias("target"))
-        .agg(F.count("*").alias("calls"))
+    calls = _meetings(named, "actor").where("at is not null").groupBy("trace_id", "at", "child", "actor").agg(F.count("*").alias("n"))
+    # a span has one actor; its children's are counted before they meet it
+    met = calls.groupBy("trace_id", "at").agg(
+        F.max(F.when(~F.col("child"), F.col("actor"))).alias("source"), F.collect_list(F.when(F.col("child"), F.struct(F.col("actor").alias("target"), "n"))).alias("called")
     )
+    return (
+        met.where("source is not null").select("trace_id", "source", F.inline("called"))
+        .where("source <> target")
+        .groupBy("trace_id", "source", "target")
+        .agg(F.sum("n").alias("calls"))
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.labels import attr_label
 from ..operators import fold as fo, readmodels as rm, trajectory as tj
@@ -217,7 +217,19 @@ def external_trace_lookup(spark, d):
 
 @query("SELECT trace_id, span_id, ts, seq, event_type, ext_span_id, log AS logs FROM ev WHERE log IS NOT NULL")
 def log_events(spark, d):
-    return rm.log_events(fo.deduplicate(tables.trace_events(spark, d))).withColumn("logs", F.array_join("logs", "|"))
+    return rm.log_events(tables.trace_events(spark, d), unique=True).drop("event_id", "place").withColumn("logs", F.array_join("logs", "|"))
+
+
+@query(
+    "SELECT trace_id, span_id, seq, log AS logs, rank() OVER (PARTITION BY trace_id ORDER BY ts, seq) - 1 AS first_place FROM ev WHERE log IS NOT NULL"
+)
+def log_event_places(spark, d):
+    """Every third event arrives twice; each log event has one place in its trace, those of one time and sequence next to each other."""
+    ev = tables.trace_events(spark, d)
+    again = ev.where("(trace_id + seq) % 3 = 0").withColumn("_arrival", F.col("_arrival") + 1000)
+    found = rm.log_events(ev.unionByName(again))
+    first = F.min("place").over(Window.partitionBy("trace_id", "ts", "seq"))
+    return found.select("trace_id", "span_id", "seq", F.array_join("logs", "|").alias("logs"), first.alias("first_place"))
 
 
 @query(
@@ -258,7 +270,7 @@ def trace_summaries(spark, d):
 @query("SELECT f.span_id, input_text, output_text, label, (SELECT string_agg(log, '|' ORDER BY ts, seq) FROM ev e WHERE e.trace_id = 7 AND e.span_id = f.span_id) AS logs FROM folded f WHERE trace_id = 7 AND span_id = 2")
 def span_detail(spark, d):
     s = folded(spark, d).where("trace_id = 7 AND span_id = 2")
-    raw = rm.log_events(tables.trace_events(spark, d)).where("trace_id = 7 AND span_id = 2")
+    raw = rm.log_events(tables.trace_events(spark, d).where("trace_id = 7 AND span_id = 2"), unique=True)
     logs = raw.groupBy("trace_id", "span_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "logs"))).alias("l"))
     logs = logs.select("trace_id", "span_id", F.array_join(F.flatten(F.transform("l", lambda x: x["logs"])), "|").alias("all_logs"))
     return s.withColumn("label", fo.status_label()).join(logs, ["trace_id", "span_id"], "left").select("span_id", "input_text", "output_text", "label", F.col("all_logs").alias("logs"))
@@ -329,6 +341,14 @@ def depth_first_order(spark, d):
     return tj.depth_first(folded(spark, d))
 
 
+@query("SELECT doc_id % 7 AS trace_id, doc_id AS span_id, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) - 1 AS place FROM documents", base="")
+def deep_trace(spark, d):
+    """Chains as long as a seventh of the documents."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    up = F.lag("doc_id").over(Window.partitionBy(F.col("doc_id") % 7).orderBy("doc_id"))
+    return tj.depth_first(docs.select((F.col("doc_id") % 7).alias("trace_id"), F.col("doc_id").alias("span_id"), up.alias("parent_span_id")))
+
+
 _PATHS = """, paths AS (
   SELECT trace_id, count(*) AS span_count, CAST(sum(event_count) AS BIGINT) AS event_count, CAST(sum(coalesce(duration_ns, 0)) AS BIGINT) AS total_duration_ns,
     """ + TOK + """, bool_or(failed) AS has_error, NOT bool_or(failed OR coalesce(verdict IN ('fail', 'failed', 'error'), false)) AS success, max(session_id) AS session_id,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..ids import numeric_id
 from ..operators import evaluate as ev, metadata as md, retention as rt, search as se
 from ..operators.predicates import page
 from ..schema import START
@@ -308,8 +309,28 @@ def retention_plan(spark, d):
     + "SELECT part, count(DISTINCT trace_id) AS trace_count, count(*) AS span_count, CAST(sum(event_count) AS BIGINT) AS event_count FROM (SELECT f.*, unnest(['candidate', CASE WHEN deletable THEN 'deletable' ELSE 'protected' END]) AS part FROM folded f JOIN plan USING (trace_id)) GROUP BY part"
 )
 def retention_stats(spark, d):
-    spans, planned = _plan(spark, d)
-    return rt.plan_stats(spans, planned).drop("estimated_bytes")
+    return _sizes(spark, d).drop("estimated_bytes")
+
+
+_BYTES = (
+    "96 + " + " + ".join(f"coalesce(strlen({c}), 0)" for c in ("external_trace_id", "agent_name", "tool_name", "model", "input_text", "output_text"))
+    + " + coalesce(list_sum(list_transform(logs, lambda x: strlen(x))), 0)" + "".join(f" + coalesce(strlen({a}) + {len(a)}, 0)" for a in tables.ATTRS)
+)
+
+
+def _sizes(spark, d):
+    notes = md.latest(_annotations(spark, d))
+    found = rt.candidates(folded(spark, d), None, _CUTOFF, sizes=True)
+    return rt.plan_stats(rt.plan(found, rt.protections(notes, _associations(spark, d))))
+
+
+@query(
+    _PLAN
+    + f"SELECT part, count(DISTINCT trace_id) AS trace_count, count(*) AS span_count, CAST(sum(event_count) AS BIGINT) AS event_count, CAST(sum({_BYTES}) AS BIGINT) AS estimated_bytes FROM (SELECT f.*, unnest(['candidate', CASE WHEN deletable THEN 'deletable' ELSE 'protected' END]) AS part FROM folded f JOIN plan USING (trace_id)) GROUP BY part"
+)
+def retention_sizes(spark, d):
+    """The stored bytes as well, which ``retention_stats`` leaves out."""
+    return _sizes(spark, d)
 
 
 @query(_PLAN + "SELECT trace_id, span_id, seq FROM ev WHERE seq <= 2 AND trace_id IN (SELECT trace_id FROM plan WHERE deletable) AND trace_id NOT IN (SELECT trace_id FROM ev WHERE seq > 2)")
@@ -360,6 +381,18 @@ def otlp_round_trip(spark, d):
     return otlp.parse(body).select("trace_id", "span_id", "seq", "status", "duration_ns", "model", "input_tokens", "input_text", "output_text", "session_id")
 
 
+@query(
+    "SELECT doc_id, kind, CAST(CASE kind WHEN 0 THEN doc_id WHEN 1 THEN 1234567890123456789 + doc_id WHEN 2 THEN -1 - doc_id ELSE -9223372036854775808 + doc_id END AS BIGINT) AS id FROM documents, (SELECT unnest([0, 1, 2, 3]) AS kind)"
+)
+def u64_ids(spark, d):
+    """Ids as texts of up to twenty digits: the BIGINT has the bits of the unsigned number."""
+    docs = _table(spark, d, "documents").select("doc_id", F.explode(F.array(*map(F.lit, range(4)))).alias("kind"))
+    big = lambda n, sign=1: (F.lit(str(n)).cast("decimal(20,0)") + sign * F.col("doc_id")).cast("decimal(20,0)").cast("string")
+    text = F.when(F.col("kind") == 0, F.concat(F.lit("000"), F.col("doc_id").cast("string"))).when(F.col("kind") == 1, big(1234567890123456789))
+    text = text.when(F.col("kind") == 2, big((1 << 64) - 1, -1)).otherwise(big(1 << 63))
+    return docs.select("doc_id", "kind", numeric_id(text).alias("id"))
+
+
 @query(SPANS_SQL + f"SELECT trace_id, count(*) AS started FROM ev WHERE event_type = {START} GROUP BY trace_id")
 def started_spans(spark, d):
     e = tables.trace_events(spark, d).where(F.col("event_type") == START)

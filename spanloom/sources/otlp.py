@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..ids import numeric_id
+from ..ids import numeric_id, unsigned
 
 _VALUE = "struct<stringValue: string, intValue: string, doubleValue: double>"
 _ATTRS = f"array<struct<key: string, value: {_VALUE}>>"
@@ -39,7 +39,7 @@ def _attr(attrs: Column, key: str) -> Column:
 
 
 def _number(value: Column) -> Column:
-    return F.coalesce(F.when(value["intValue"].rlike(r"^\d{1,18}$"), value["intValue"]).cast("long"), F.floor(value["doubleValue"]).cast("long"))
+    return F.coalesce(unsigned(value["intValue"]), F.floor(value["doubleValue"]).cast("long"))
 
 
 def first_text(attrs: Column, keys: Sequence[str]) -> Column:
@@ -53,7 +53,7 @@ def first_number(attrs: Column, keys: Sequence[str]) -> Column:
 def first_numeric(attrs: Column, keys: Sequence[str]) -> Column:
     """Numbers, and texts that are numbers."""
     values = [_attr(attrs, k) for k in keys]
-    return F.coalesce(*[F.coalesce(_number(v), F.when(v["stringValue"].rlike(r"^\d{1,18}$"), v["stringValue"]).cast("long")) for v in values])
+    return F.coalesce(*[F.coalesce(_number(v), unsigned(v["stringValue"])) for v in values])
 
 
 def first_session(attrs: Column, keys: Sequence[str]) -> Column:

@@ -68,7 +68,9 @@ def for_spark(sql: str) -> str:
 
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Span events of the order lines."""
-    _views(spark, sf_dir, "lineitem", "orders", "customer", "nation")
+    _views(spark, sf_dir, "orders", "customer", "nation")
+    # dealt by trace once: numbering events, folding them and rolling spans up by trace need no other shuffle
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition("l_orderkey").createOrReplaceTempView("lineitem")
     flat = spark.sql(for_spark(EVENTS))
     entries = F.filter(F.array(*[F.struct(F.lit(a).alias("key"), F.col(a).alias("value")) for a in ATTRS]), lambda e: e["value"].isNotNull())
     return flat.withColumns(

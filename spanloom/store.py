@@ -244,13 +244,13 @@ class TraceStore:
 
     # retention
 
-    def retention_plan(self, request: dict | None = None, cutoff: int | None = None) -> DataFrame:
+    def retention_plan(self, request: dict | None = None, cutoff: int | None = None, sizes: bool = False) -> DataFrame:
         """Candidates, what protects them, and whether they may go."""
-        found = rt.candidates(self.spans(), self._matching(request), cutoff)
+        found = rt.candidates(self.spans(), self._matching(request), cutoff, sizes)
         return rt.plan(found, rt.protections(self._current("annotations"), self._current("associations")))
 
     def retention_stats(self, request: dict | None = None, cutoff: int | None = None) -> DataFrame:
-        return rt.plan_stats(self.spans(), self.retention_plan(request, cutoff))
+        return rt.plan_stats(self.retention_plan(request, cutoff, sizes=True))
 
     def retention_apply(self, upto: int, request: dict | None = None, cutoff: int | None = None, source: str = "manual") -> DataFrame:
         """Delete what the plan allows of batches up to ``upto``; returns the traces skipped as live.
