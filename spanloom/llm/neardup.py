@@ -345,11 +345,13 @@ def near_duplicates(
     # sizes that can be linked differ by one class at most
     size_class = F.floor(F.log("shingles") / F.lit(log(1 / threshold) + 1e-9)).cast("long")
     members = checkpointed(placed.join(sets, "s").select("label", "s", "least", "h1", "h2", "copies", "shingles", size_class.alias("c")))
-    load = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).cast("long")
-    large = members.groupBy("label").agg(load.alias("load")).where("load > 1").select("label")
-    # one row a class and area, a size class for each factor of 1 / threshold
-    cuts = members.join(large, "label", "left_semi").groupBy("label", "c").agg(load.alias("blocks"))
-    cuts = cuts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("c", "blocks"))).alias("cuts"))
+    load = lambda n, m: F.ceil(F.greatest(n / BLOCK, m / BLOCK_SHINGLES)).cast("long")
+    # counted by size class first: one row a class and area, a class for each factor of 1 / threshold
+    per_class = members.groupBy("label", "c").agg(F.count("*").alias("n"), F.sum("shingles").alias("m"))
+    cuts = per_class.groupBy("label").agg(
+        load(F.sum("n"), F.sum("m")).alias("load"), F.map_from_entries(F.collect_list(F.struct("c", load(F.col("n"), F.col("m"))))).alias("cuts")
+    )
+    cuts = cuts.where("load > 1").select("label", "cuts")
     none = F.lit(0).cast("long")
     blocks = {n: F.coalesce(F.col("cuts")[F.col("c") + F.lit(d).cast("long")], none) for n, d in (("before", -1), ("own", 0), ("after", 1))}
     chosen = members.join(cuts, "label", "left").select(
