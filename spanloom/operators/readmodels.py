@@ -232,6 +232,18 @@ def trace_detail(spans: DataFrame) -> DataFrame:
     )
 
 
+def trace_steps(spans: DataFrame) -> DataFrame:
+    """The spans of a trace as steps: kind, name, depth, place by depth and id, and the texts."""
+    from .trajectory import depths, step_kind, step_name
+
+    deep = spans.join(depths(spans), list(SPAN_ORDER))
+    order = Window.partitionBy("trace_id").orderBy("depth", "span_id")
+    return deep.select(
+        *SPAN_ORDER, "parent_span_id", step_kind().alias("kind"), step_name().alias("name"), "depth", (F.row_number().over(order) - 1).cast("long").alias("place"),
+        status_label().alias("label"), "duration_ns", "input_text", "output_text",
+    )
+
+
 def trace_summaries(spans: DataFrame) -> DataFrame:
     return spans.groupBy("trace_id").agg(trace_status().alias("status"), F.count("*").alias("span_count"), *durations(), *token_sums())
 

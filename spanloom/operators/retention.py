@@ -98,6 +98,11 @@ class Policy:
             raise ValueError("a policy needs a name, an interval and a cutoff or a ttl")
 
 
+def due_rows(policies: DataFrame, now: int, limit: int = 100) -> DataFrame:
+    """Rows of a policy table that are due, oldest first, 100 at most."""
+    return policies.where(F.col("enabled") & (F.col("next_run") <= now)).orderBy("next_run", "id").limit(max(1, min(100, limit)))
+
+
 def due(policies: Sequence[Policy], now: int, limit: int = 100) -> list[Policy]:
     found = [p for p in policies if p.enabled and p.next_run <= now]
     return sorted(found, key=lambda p: (p.next_run, p.id))[: max(1, min(100, limit))]

@@ -341,6 +341,30 @@ def depth_first_order(spark, d):
     return tj.depth_first(folded(spark, d))
 
 
+@query(
+    "SELECT trace_id, span_id, CAST(depth AS BIGINT) AS depth, row_number() OVER (PARTITION BY trace_id ORDER BY depth, span_id) - 1 AS place, label, input_text, output_text FROM folded JOIN walk USING (trace_id, span_id)",
+    base=RECURSIVE,
+)
+def trace_steps(spark, d):
+    return rm.trace_steps(folded(spark, d)).select("trace_id", "span_id", "depth", "place", "label", "input_text", "output_text")
+
+
+@query(
+    "SELECT trace_id, span_id, CASE WHEN span_id = 1 THEN 'late agent' ELSE agent_name END AS agent_name, CASE WHEN span_id = 1 THEN 7 ELSE duration_ns END AS duration_ns, "
+    "array_to_string(CASE WHEN span_id = 1 THEN list_concat(logs, ['late log']) ELSE logs END, '|') AS logs, CASE WHEN span_id = 1 THEN '\"late\"' ELSE loop_id END AS loop_id, validation_status FROM folded"
+)
+def fold_with_late_fields(spark, d):
+    """Late patches of names, numbers, logs and attributes; of two patches the later segment's wins."""
+    first = tables.trace_events(spark, d).where("span_id = 1 AND seq = 1").select("trace_id", "span_id")
+    late = first.select(
+        "*", F.lit("late agent").alias("agent_name"), F.lit(7).cast("long").alias("duration_ns"), F.array(F.lit("late log")).alias("logs"),
+        F.create_map(F.lit("loop_id"), F.lit('"late"')).alias("attrs"), F.lit(2).alias("segment_id"),
+    )
+    early = late.withColumns({"agent_name": F.lit("early"), "attrs": F.create_map(F.lit("loop_id"), F.lit('"early"')), "segment_id": F.lit(1)})
+    s = fo.overlay(folded(spark, d), late.unionByName(early))
+    return s.select("trace_id", "span_id", "agent_name", "duration_ns", F.array_join("logs", "|").alias("logs"), F.col("attrs")["loop_id"].alias("loop_id"), F.col("attrs")["validation_status"].alias("validation_status"))
+
+
 @query("SELECT doc_id % 7 AS trace_id, doc_id AS span_id, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) - 1 AS place FROM documents", base="")
 def deep_trace(spark, d):
     """Chains as long as a seventh of the documents."""

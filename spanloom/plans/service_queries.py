@@ -186,6 +186,21 @@ def dataset_list(spark, d):
     return ev.list_datasets(spans.withColumn("name", F.when(F.col("tenant_id") == 1, "one").otherwise("others")))
 
 
+@query(_SCORED + f", frozen AS (SELECT * FROM scored SEMI JOIN (SELECT trace_id, span_id FROM folded WHERE tenant_id = 1) USING (trace_id, span_id)) SELECT CAST(NULL AS VARCHAR) AS agent_name, {_SUMMARY.replace('FROM scored', 'FROM frozen')} UNION ALL SELECT agent_name, {_SUMMARY.replace('FROM scored', 'FROM frozen')} WHERE agent_name IS NOT NULL GROUP BY agent_name")
+def dataset_eval(spark, d):
+    """Frozen examples of one tenant, scored without writing back."""
+    examples = ev.collect_into_dataset(None, folded(spark, d), F.col("tenant_id") == 1)
+    return ev.eval_summary(ev.evaluate(examples, ev.keyword_score(["refused"])))
+
+
+@query("SELECT p_partkey AS id, p_size * 1000 AS next_run FROM part WHERE p_partkey % 3 > 0 AND p_size * 1000 <= 20000 ORDER BY next_run, id LIMIT 100")
+def due_policies(spark, d):
+    """Parts as policies: sizes say when they run next."""
+    parts = _table(spark, d, "part")
+    rows = parts.select(F.col("p_partkey").alias("id"), (F.col("p_size") * 1000).alias("next_run"), (F.col("p_partkey") % 3 > 0).alias("enabled"))
+    return rt.due_rows(rows, 20_000, 100).select("id", "next_run")
+
+
 _RANKING = (
     "WITH ranking AS (SELECT lang AS query, doc_id AS item, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id) AS rank FROM documents), "
     "good AS (SELECT lang AS query, doc_id AS item, quality * 2 + toxic AS grade FROM documents JOIN labels USING (doc_id) WHERE quality * 2 + toxic > 0), "

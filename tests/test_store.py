@@ -87,3 +87,64 @@ def test_bad_batch_is_refused(store):
     with pytest.raises(Exception, match="missing or bad field"):
         store.ingest(json.dumps([wire(3, 1, 1, 1), {"trace_id": 3}]))
     assert sorted(ids(store.traces())) == [1, 2]
+
+
+def test_pruned_reads(store):
+    """Reads by trace and by fields filter the scans, and agree with the full fold."""
+    plan = store.trace(1)._jdf.queryExecution().toString()
+    assert "trace_id" in plan.split("PushedFilters: [")[1].split("]")[0]
+    everything = store.spans().collect()
+    for request, where in (({"sessionId": 7, "timeFrom": 2}, lambda r: r.session_id == 7 and r.max_ts >= 2), ({"tool": "sql", "status": 0}, lambda r: r.tool_name == "sql")):
+        assert sorted(map(str, store.spans(request).collect())) == sorted(str(r) for r in everything if where(r))
+    assert [(r.span_id, r.depth, r.place) for r in store.steps(1).orderBy("place").collect()] == [(1, 0, 0), (2, 1, 1)]
+
+
+def test_log_events(store):
+    store.ingest(json.dumps([wire(1, 1, 5, 4, logs=["b"]), wire(1, 1, 4, 4, logs=["a"]), wire(1, 1, 5, 4, logs=["again"])]))
+    assert [(r.place, r.logs) for r in store.log_events(1).orderBy("place").collect()] == [(0, ["a"]), (1, ["b"])]
+    assert [x.logs for x in store.span(1, 1).first().log_events] == [["a"], ["b"]]
+    assert store.log_events(9).count() == 0  # another tenant's
+
+
+def test_late_patches_and_compaction(store, spark):
+    store.add_patches(spark.createDataFrame([(1, 2, "web", ["late"])], "trace_id long, span_id long, tool_name string, logs array<string>"))
+    store.add_patches(spark.createDataFrame([(1, 2, {"k": '"v"'})], "trace_id long, span_id long, attrs map<string,string>"))
+    got = store.span(1, 2).first()
+    assert (got.tool_name, got.logs, got.attrs, got.duration_ns) == ("web", ["late"], {"k": '"v"'}, 9)
+    assert [r.span_id for r in store.spans({"tool": "web"}).collect()] == [2]  # found by its late value
+    before = sorted(map(str, store.spans().drop("logs").collect()))
+    store.annotate(spark.createDataFrame([(5, 1, "keep")], "id long, trace_id long, label string"))
+    store.retention_apply(store.batch)
+    rows = store.table("events").count()
+    store.compact()
+    assert store.table("deletes").count() == 0 and store.table("events").count() == rows - 1
+    assert sorted(map(str, store.spans().drop("logs").collect())) == [x for x in before if "trace_id=2" not in x]
+
+
+def test_datasets(store):
+    assert store.create_dataset("empty") and not store.create_dataset("empty")
+    assert store.collect_into_dataset("bad", F.col("status") == 1) == 1
+    assert store.collect_into_dataset("bad", F.col("status").isNotNull()) == 2 and store.collect_into_dataset("bad", F.col("status").isNotNull()) == 0
+    assert [(r.name, r.examples) for r in store.datasets().collect()] == [("bad", 3), ("empty", 0)]
+    overall = store.eval_dataset("bad", keyword_score(["cannot"])).where("agent_name is null").first()
+    assert (overall.scored, overall.passed) == (2, 1) and store.span(2, 1).first().eval_score is None
+    assert store.eval_dataset("none", keyword_score(["x"])) is None
+
+
+def test_policies_and_audits(store):
+    from spanloom.operators.retention import Policy
+
+    store.put_policy(Policy(2, "later", 10, {"ttl": 5}, next_run=50))
+    store.put_policy(Policy(1, "planner", 10, {"cutoff": 100, "agent": "planner", "status": 1}, next_run=20))
+    store.put_policy(Policy(3, "off", 10, {"ttl": 5}, enabled=False))
+    assert [r.id for r in store.policies().collect()] == [1, 2, 3]
+    assert [p.id for p in store.run_due_policies(30)] == [1]
+    assert ids(store.traces()) == [1] and store.run_due_policies(35) == []
+    assert [(r.id, r.next_run) for r in store.policies(limit=1).collect()] == [(1, 40)]
+    audit = store.retention_audit(source="policy:1").first()
+    assert audit.sample_ids == [2] and store.retention_audit(id=audit.id).count() == 1
+    assert store.retention_audit(source="manual").count() == store.retention_audit(created_to=1).count() == 0
+
+
+def test_candidate_budget(store):
+    assert [r.total for r in store.trace_search({"text": "refund"}, limit=1, candidate_budget=True).collect()] == [1]
