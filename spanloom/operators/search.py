@@ -166,7 +166,8 @@ PROBES = 12
 class InvertedFile:
     """Approximate search: vectors in cells of a sampled codebook, the nearest cells searched exactly.
 
-    The codebook is fitted on at most ``sample`` vectors; every vector is indexed.
+    The codebook is fitted on at most ``sample`` vectors; every vector is indexed.  Null vectors, and those
+    of another length or with null components, are in no cell; an empty table has no cells and no hits.
     """
 
     def __init__(self, centers: np.ndarray):
@@ -175,7 +176,10 @@ class InvertedFile:
     @classmethod
     def fit(cls, vectors: DataFrame, vector: str = "embedding", cells: int = CELLS, sample: int = 4096, seed: int = 1) -> InvertedFile:
         rows = vectors.select(vector).where(F.col(vector).isNotNull()).orderBy(F.xxhash64(vector)).limit(sample).toArrow()
-        x = np.array(rows[vector].to_pylist(), np.float64)
+        good = [v for v in rows[vector].to_pylist() if None not in v]
+        x = np.array([v for v in good if len(v) == len(good[0])], np.float64)
+        if not len(x):
+            return cls(np.empty((0, 0)))
         rng = np.random.default_rng(seed)
         centers = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
         for _ in range(10):
@@ -188,11 +192,17 @@ class InvertedFile:
 
         @F.arrow_udf("int")
         def cell(v: pa.Array) -> pa.Array:
-            x = np.array(v.to_pylist(), np.float64)
-            return pa.array(((x[:, None, :] - centers[None]) ** 2).sum(2).argmin(1) if len(x) else [], pa.int32())
+            rows = v.to_pylist()
+            fits = [i for i, x in enumerate(rows) if x is not None and len(x) == centers.shape[1] and None not in x] if len(centers) else []
+            found: list[int | None] = [None] * len(rows)
+            if fits:
+                x = np.array([rows[i] for i in fits], np.float64)
+                for i, c in zip(fits, ((x[:, None, :] - centers[None]) ** 2).sum(2).argmin(1).tolist(), strict=True):
+                    found[i] = c
+            return pa.array(found, pa.int32())
 
         return vectors.withColumn("cell", cell(F.col(vector)))
 
     def search(self, indexed: DataFrame, query: Sequence[float], key: Sequence[str], k: int = 10, probes: int = PROBES, vector: str = "embedding") -> DataFrame:
-        order = ((self.centers - np.array(query)) ** 2).sum(1).argsort()[:probes]
+        order = ((self.centers - np.array(query)) ** 2).sum(1).argsort()[:probes] if len(self.centers) else []
         return knn(indexed, query, key, k, vector, matching=F.col("cell").isin([int(c) for c in order]))

@@ -119,3 +119,11 @@ def test_session_classes(spark):
     t = spark.createDataFrame(rows, "session_id long, turn long, input_text string, answer string, error_count int")
     got = {r.session_id: (r.failed_turns, r.resolved, r.looped, r.score) for r in ev.session_eval(t, ["无法"]).collect()}
     assert got == {1: (0, True, False, 1000), 2: (1, True, False, 1000), 3: (2, False, True, 0), 4: (0, True, True, 500)}
+
+
+def test_index_of_awkward_vectors(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (5, [0.5, 1.0])], "vec_id long, embedding array<float>")
+    index = se.InvertedFile.fit(df)
+    assert [r.vec_id for r in index.search(index.index(df), [0.0, 1.0], ["vec_id"], 10).collect()] == [1, 5]
+    empty = se.InvertedFile.fit(df.limit(0))
+    assert empty.search(empty.index(df.limit(0)), [0.0, 1.0], ["vec_id"], 10).count() == 0

@@ -18,10 +18,10 @@ def fnv(data: bytes) -> int:
 
 
 def test_hash(spark):
-    texts = ["", "a", "run-uuid", "盗刷", "x" * 100]
+    rnd = random.Random(6)
+    texts = ["", *("".join(chr(rnd.choice((rnd.randint(32, 126), rnd.randint(0x400, 0x4FF), 0x1F600))) for _ in range(n)) for n in (1, 7, 30, 200))]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.h for r in df.select(ids.fnv1a64(F.col("t").cast("binary")).alias("h")).collect()] == [fnv(t.encode()) for t in texts]
-    assert fnv(b"run-uuid") == 0x0C15B44E89911492
 
 
 def test_event_id(spark):
@@ -35,14 +35,24 @@ def _batch(spark, rows):
     return spark.createDataFrame([(json.dumps(rows),)], "value string")
 
 
-WIRE = {"trace_id": "run-uuid", "span_id": 7, "ts": "5", "seq": 1, "event_type": 1, "ext_span_id": "e", "display_name": "  ", "cacheReadTokens": 3, "tenant_id": 4, "attrs": {"s": "run-uuid", "n": 7, "o": {"ok": True}}, "logs": ["a"]}
+def test_ids_of_64_bits(spark):
+    rnd = random.Random(12)
+    numbers = [0, 1, (1 << 63) - 1, 1 << 63, (1 << 64) - 1, *(rnd.getrandbits(rnd.randint(1, 64)) for _ in range(40))]
+    others = ["", str(1 << 64), "9" * 20, "9" * 30, "-1", "1.0", "1e3", " 7", "x7"]
+    rows = [(str(n), n - (1 << 64) if n >> 63 else n) for n in numbers] + [(f"000{n}", n) for n in (5, 77)] + [(t, fnv(t.encode())) for t in others]
+    df = spark.createDataFrame(rows, "t string, want long")
+    assert [(r.t, r.id) for r in df.select("t", ids.numeric_id(F.col("t")).alias("id")).collect()] == rows
+    assert {r.n for r in df.where(F.col("t").isin(*others)).select(ids.unsigned(F.col("t")).alias("n")).collect()} == {None}
+
+
+WIRE = {"trace_id": "order 66/b", "span_id": 7, "ts": "5", "seq": 1, "event_type": 1, "ext_span_id": "e", "display_name": "  ", "cacheReadTokens": 3, "tenant_id": 4, "attrs": {"s": "blue", "n": 7.5, "o": {"deep": [1, None]}}, "logs": ["a"]}
 
 
 def test_wire_fields(spark):
     r = one(wire.parse(_batch(spark, [WIRE]), tenant_id=9))
-    assert (r.trace_id, r.span_id, r.ts, r.external_trace_id, r.external_span_id) == (fnv(b"run-uuid"), 7, 5, "run-uuid", "7")
+    assert (r.trace_id, r.span_id, r.ts, r.external_trace_id, r.external_span_id) == (fnv(b"order 66/b"), 7, 5, "order 66/b", "7")
     assert (r.display_name, r.cache_read_tokens, r.tenant_id, r.logs, r.parent_span_id, r.session_id) == (None, 3, 9, ["a"], None, None)
-    assert r.attrs == {"s": '"run-uuid"', "n": "7", "o": '{"ok":true}'}
+    assert r.attrs == {"s": '"blue"', "n": "7.5", "o": '{"deep":[1,null]}'}
 
 
 def test_a_bad_row_refuses_its_batch(spark):
@@ -52,23 +62,33 @@ def test_a_bad_row_refuses_its_batch(spark):
     assert wire.parse(_batch(spark, [WIRE, bad]), strict=False).count() == 1
 
 
-def test_otlp_span(spark):
+def test_otlp_spans(spark):
+    """Spans with drawn numbers, each a body of its own."""
+    rnd = random.Random(31)
     attr = lambda k, **v: {"key": k, "value": v}
-    span = {
-        "traceId": "0af7651916cd43dd8448eb211c80319c", "spanId": "00f067aa0ba902b7", "parentSpanId": "", "name": " chat ", "startTimeUnixNano": "1000", "endTimeUnixNano": "500001000", "status": {"code": 2},
-        "attributes": [
-            attr("gen_ai.request.model", stringValue="qwen3"), attr("gen_ai.usage.input_tokens", intValue="1200"), attr("gen_ai.usage.output_tokens", intValue=340),
-            attr("acme.display_name", stringValue="  Shown "), attr("session.id", stringValue="s-1"), attr("tenant.id", stringValue="5"),
-            attr("gen_ai.prompt", stringValue=json.dumps([{"role": "user", "content": "hi"}, {"role": "user", "content": [{"type": "text", "text": "there"}]}])),
-        ],
-        "events": [{"name": "gen_ai.choice", "attributes": [attr("content", stringValue="done")]}],
-    }
-    body = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [span]}]}]})
-    start, end = otlp.parse(spark.createDataFrame([(body,)], "value string"), vendor="acme").orderBy("seq").collect()
-    assert (start.seq, end.seq, start.model, start.input_tokens, start.output_tokens, start.display_name) == (1, 2, "qwen3", 1200, 340, "Shown")
-    assert (start.status, end.status, end.duration_ns) == (None, 1, 500_000_000)
-    assert (start.input_text, start.output_text, start.session_id, start.external_session_id, start.tenant_id) == ("hi\nthere", "done", fnv(b"s-1"), "s-1", 5)
-    assert start.trace_id == int("8448eb211c80319c", 16) - (1 << 64) and start.span_id == 0xF067AA0BA902B7 and start.parent_span_id is None
+    want, bodies = {}, []
+    for n in range(12):
+        trace, span, began, took = rnd.getrandbits(128), rnd.getrandbits(64), rnd.getrandbits(40), rnd.getrandbits(30)
+        tokens, code = [rnd.randint(0, 9999), rnd.randint(0, 9999)], rnd.choice((0, 1, 2))
+        talk = [{"role": "user", "content": f"part {n}"}, {"role": "user", "content": [{"type": "text", "text": "and more"}]}]
+        attrs = [
+            attr("llm.model_name", stringValue=f"model {n % 4}"), attr("gen_ai.usage.prompt_tokens", intValue=str(tokens[0])), attr("llm.token_count.completion", intValue=tokens[1]),
+            attr("shop.display_name", stringValue=f" Step {n}  "), attr("gen_ai.conversation.id", stringValue=f"talk/{n}"), attr("tenant.id", stringValue=str((1 << 64) - 1 - n)),
+            attr("gen_ai.prompt", stringValue=json.dumps(talk)),
+        ]
+        said = [{"name": "gen_ai.choice", "attributes": [attr("content", stringValue=f"answer {n}")]}]
+        one_span = {"traceId": f"{trace:032x}", "spanId": f"{span:016x}", "parentSpanId": "", "name": "step", "startTimeUnixNano": str(began), "endTimeUnixNano": str(began + took), "status": {"code": code}, "attributes": attrs, "events": said}
+        bodies.append((json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [one_span]}]}]}),))
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        want[signed(span)] = (signed(trace & ((1 << 64) - 1)), f"model {n % 4}", *tokens, f"Step {n}", f"part {n}\nand more", f"answer {n}", fnv(f"talk/{n}".encode()), -1 - n, took, {0: None, 1: 0, 2: 1}[code])
+    got = otlp.parse(spark.createDataFrame(bodies, "value string"), vendor="shop").collect()
+    ends = {r.span_id: r for r in got if r.seq == 2}
+    starts = {r.span_id: r for r in got if r.seq == 1}
+    assert {
+        k: (r.trace_id, r.model, r.input_tokens, r.output_tokens, r.display_name, r.input_text, r.output_text, r.session_id, r.tenant_id, ends[k].duration_ns, ends[k].status)
+        for k, r in starts.items()
+    } == want
+    assert all(r.status is None and r.parent_span_id is None for r in starts.values())
 
 
 def test_flat_text_stays(spark):
