@@ -167,3 +167,11 @@ def test_registered_over_whole_tables(spark):
     assert detail.count() == q["trace_summaries"](spark, d).agg(F.sum("span_count")).first()[0] > q["trace_detail"](spark, d).count()
     words = spark.read.parquet(f"{d}/documents.parquet").select(F.size(tokens(F.col("text"))).alias("n")).agg(F.sum("n")).first()[0]
     assert q["tokenized_document_terms"](spark, d).agg(F.sum("n")).first()[0] == words
+
+
+@pytest.mark.parametrize("name", ["list_traces", "trace_search_text", "trajectory_groups", "trace_diff", "agent_graph_edges", "trace_tree", "console_sessions_matching", "loop_trajectories"])
+def test_one_fold_a_query(spark, name):
+    """Each of the four tables under the events is scanned once, and events are dealt by trace once."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 4 and "CartesianProduct" not in plan
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1
