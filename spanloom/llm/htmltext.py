@@ -64,6 +64,14 @@ SIDE_WORDS = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist respond replies disqus pagination pager toolbar skip".split()
 )
 HEADER_WORDS = frozenset({"header", "masthead"})
+#: Words that mark a side part alone or beside such companions; in other compounds (``ad-hoc``, ``social-science``)
+#: they are words of the page's subject.
+LOOSE_WORDS = frozenset({"ad", "social"})
+COMPANIONS = frozenset(
+    "all area article articles bar block body bottom box break btn button buttons card center col column container content desktop entry feed footer form global group "
+    "head heading holder icon icons inner item items js label left link links list main media message mobile module msg network networks news outer page panel placement post posts "
+    "primary region right row secondary section site slot space spot stories story strip tag text title tools top unit user users wrap wrapper zone".split()
+)
 KEEP_TAGS = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
@@ -103,6 +111,7 @@ def _side(name: str, attrs: str) -> tuple[int, bool, str]:
         return SURE if beside else 0, role == "main", label
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     names = [{w.lower() for w in _WORDS.findall(n)} for n in (found.get("class", "") + " " + found.get("id", "")).split()]
+    names = [n for n in names if not (n & SIDE_WORDS <= LOOSE_WORDS and any(not w.isdigit() for w in n - SIDE_WORDS - COMPANIONS))]
     words = SIDE_WORDS & set().union(*names)
     if hidden or (name in SIDE_TAGS and name != "form") or (role in SIDE_ROLES and role != "form"):
         sure = SURE

@@ -86,3 +86,11 @@ def test_words_and_forms_around_the_article():
     assert H.extract([H.tokens(related)]) == [["Short"]]
     post = "<div class=post><p>The post itself</p></div><div class='all-comments'><article>me too</article></div>"
     assert H.extract([H.tokens(post)]) == [["The post itself"]]
+
+
+def test_words_of_the_subject_are_no_side_parts():
+    page = "<article><h1>T</h1><div class='social-science'>One</div><p class='ad-hoc'>Two</p><p id='social-contract'>Three</p>{}<p>Four</p></article>"
+    want = ["T", "One", "Two", "Three", "Four"]
+    assert H.extract([H.tokens(page.format(""))]) == [want]
+    for side in ("social-links", "ad-slot-3", "ad", "reader-comments", "comment-thread", "related-reading", "share-buttons", "cookie-hint", "newsletter-box", "alert-box", "col-2 sidebar-fancy"):
+        assert H.extract([H.tokens(page.format(f"<div class='{side}'>no</div>"))]) == [want], side
