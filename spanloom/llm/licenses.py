@@ -1,7 +1,7 @@
 """License detection by ordered signature rules.
 
-Each rule is a hand-written regex with a label, a priority and keywords.  A text is first
-searched for the keywords; only rules whose keyword occurs are run.  Detections are spans;
+Each rule is a regex with a label, a priority and a keyword: those of ``signatures`` are written by hand.
+A text is first searched for parts of keywords, then for the keywords; only rules whose keyword occurs are run.  Detections are spans;
 one whose interval lies within a detection of higher priority (or within a longer one of
 the same priority) is suppressed, so a named version wins over the bare family name.
 
@@ -20,21 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import table
+from .signatures import IDENTIFIER, NAME, NOTICE, SINGLE, VERSIONED, Rule
 
 #: Fixed values of the base rules: phrase and label.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Priorities: an explicit identifier, a full notice, a name with a version, a bare name, a hint.
-IDENTIFIER, NOTICE, VERSIONED, NAME, HINT = 50, 40, 30, 20, 10
-
-
-class Rule(NamedTuple):
-    label: str
-    priority: int
-    keyword: str
-    pattern: str
-
-
 def _version(v: str) -> str:
     """A version number as people write it: 2.0, v2, version 2.0."""
     whole, _, rest = v.partition(".")
@@ -42,68 +32,6 @@ def _version(v: str) -> str:
     return rf"(?:version |ver\.? |v\.? ?)?{whole}{tail}(?![\d.]*\d)"
 
 
-#: Hand-written single rules.
-SINGLE = (
-    Rule("mit", NOTICE, "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    Rule("mit", NOTICE, "mit license", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?mit license"),
-    Rule("mit", NAME, "mit license", r"\b(?:the )?mit license\b"),
-    Rule("mit", NAME, "mit/x11", r"\bmit/x11(?: license)?\b"),
-    Rule("mit", NAME, "expat", r"\bexpat license\b"),
-    Rule("mit-0", VERSIONED, "mit no attribution", r"\bmit no attribution\b"),
-    Rule("x11", NAME, "x11 license", r"\bx11 license\b"),
-    Rule("isc", NAME, "isc license", r"\bisc license\b"),
-    Rule("isc", NOTICE, "permission to use, copy", r"permission to use, copy, modify, and/?o?r? distribute this software for any purpose"),
-    Rule("bsd", NAME, "bsd license", r"\bbsd(?:[- ]style)? license\b"),
-    Rule("bsd-2-clause", VERSIONED, "bsd", r"\b(?:bsd[- ]2[- ]clause|(?:simplified|2-clause|two-clause|freebsd) bsd)(?: license)?\b"),
-    Rule("bsd-3-clause", VERSIONED, "bsd", r"\b(?:bsd[- ]3[- ]clause|(?:new|modified|revised|3-clause|three-clause) bsd)(?: license)?\b"),
-    Rule("bsd-4-clause", VERSIONED, "bsd", r"\b(?:bsd[- ]4[- ]clause|(?:original|4-clause|four-clause) bsd)(?: license)?\b"),
-    Rule("bsd-0-clause", VERSIONED, "bsd", r"\b(?:0bsd|zero[- ]clause bsd)(?: license)?\b"),
-    Rule("bsd", NOTICE, "redistribution and use", r"redistribution and use in source and binary forms, with or without modification"),
-    Rule("apache", NAME, "apache license", r"\b(?:the )?apache (?:software )?license\b"),
-    Rule("apache-2.0", NOTICE, "apache.org/licenses", r"https?://www\.apache\.org/licenses/license-2\.0"),
-    Rule("apache-2.0", VERSIONED, "asl 2.0", r"\basl 2\.0\b"),
-    Rule("gpl", NAME, "general public license", r"\b(?:the )?(?:gnu )?general public license\b"),
-    Rule("gpl", NOTICE, "free software foundation", r"terms of the gnu general public license as published by the free software foundation"),
-    Rule("gpl", HINT, "gpl", r"\bgpl\b"),
-    Rule("lgpl", NAME, "lesser general public", r"\b(?:the )?(?:gnu )?lesser general public license\b"),
-    Rule("lgpl", NAME, "library general public", r"\b(?:the )?(?:gnu )?library general public license\b"),
-    Rule("lgpl", HINT, "lgpl", r"\blgpl\b"),
-    Rule("agpl", NAME, "affero general public", r"\b(?:the )?(?:gnu )?affero general public license\b"),
-    Rule("agpl", HINT, "agpl", r"\bagpl\b"),
-    Rule("gfdl", NAME, "free documentation license", r"\b(?:gnu )?free documentation license\b"),
-    Rule("mpl", NAME, "mozilla public license", r"\bmozilla public license\b"),
-    Rule("epl", NAME, "eclipse public license", r"\beclipse public license\b"),
-    Rule("cddl", NAME, "common development and distribution", r"\bcommon development and distribution license\b"),
-    Rule("cpl", NAME, "common public license", r"\bcommon public license\b"),
-    Rule("eupl", NAME, "european union public", r"\beuropean union public licen[cs]e\b"),
-    Rule("artistic", NAME, "artistic license", r"\b(?:the )?artistic license\b"),
-    Rule("bsl-1.0", VERSIONED, "boost software license", r"\bboost software license\b"),
-    Rule("busl-1.1", VERSIONED, "business source license", r"\bbusiness source license\b"),
-    Rule("sspl-1.0", VERSIONED, "server side public license", r"\bserver side public license\b"),
-    Rule("elastic-2.0", VERSIONED, "elastic license", r"\belastic license(?: 2\.0)?\b"),
-    Rule("zlib", NAME, "zlib license", r"\b(?:the )?zlib(?:/libpng)? license\b"),
-    Rule("libpng", NAME, "libpng license", r"\blibpng license\b"),
-    Rule("unlicense", NAME, "unlicense", r"\b(?:the )?unlicense\b"),
-    Rule("unlicense", NOTICE, "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    Rule("wtfpl", NAME, "wtfpl", r"\bwtfpl\b"),
-    Rule("wtfpl", NAME, "do what the fuck", r"do what the fuck you want to public license"),
-    Rule("public-domain", NAME, "public domain", r"\b(?:released|dedicated|placed) (?:in|into|to) the public domain\b"),
-    Rule("public-domain", HINT, "public domain", r"\bpublic domain\b"),
-    Rule("python-2.0", NAME, "python software foundation", r"\bpython software foundation license\b"),
-    Rule("ruby", NAME, "ruby license", r"\bruby license\b"),
-    Rule("php-3.01", NAME, "php license", r"\bphp license\b"),
-    Rule("openssl", NAME, "openssl license", r"\bopenssl license\b"),
-    Rule("postgresql", NAME, "postgresql license", r"\bpostgresql licen[cs]e\b"),
-    Rule("ncsa", NAME, "ncsa open source", r"\b(?:university of illinois/)?ncsa open source license\b"),
-    Rule("ofl-1.1", NAME, "open font license", r"\bsil open font license\b"),
-    Rule("odbl-1.0", NAME, "open database license", r"\bopen database license\b"),
-    Rule("cc0-1.0", VERSIONED, "cc0", r"\bcc0(?:[- ]1\.0)?\b"),
-    Rule("cc", HINT, "creative commons", r"\bcreative commons\b"),
-    Rule("proprietary", NOTICE, "all rights reserved", r"\ball rights reserved\b"),
-    Rule("proprietary", NOTICE, "proprietary and confidential", r"\bproprietary and confidential\b"),
-    Rule("copyright", HINT, "copyright", r"\bcopyright (?:\(c\)|©) ?\d{4}\b"),
-)
-
 #: Versioned families: label stem, keyword, name pattern, versions.
 FAMILIES = (
     ("apache", "apache", r"apache(?: software)?(?: license)?", ("1.0", "1.1", "2.0")),
@@ -177,16 +105,24 @@ def _compiled() -> tuple[tuple[str, ...], dict[str, list[tuple[int, Rule, re.Pat
     return tuple(by), by
 
 
+@lru_cache(maxsize=1)
+def _gated() -> dict[str, list[str]]:
+    """The keywords by the longest gate in them: most texts without a gate need no look for its keywords."""
+    out: dict[str, list[str]] = {}
+    for k in _compiled()[0]:
+        out.setdefault(max((g for g in GATE if g in k), key=len), []).append(k)
+    return out
+
+
 #: White space of any length counts as one blank in a pattern.
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def detect(lowered: str) -> list[Detection]:
     """Detections that stand after suppression, by place, in a lower-cased text with single blanks."""
-    keywords, by = _compiled()
+    by = _compiled()[1]
     found: list[tuple[Detection, int]] = []
-    for k in keywords:
+    for k in (k for gate, keywords in _gated().items() if gate in lowered for k in keywords):
         if k in lowered:
             for n, r, pattern in by[k]:
                 for m in pattern.finditer(lowered):
@@ -235,8 +171,8 @@ def base_places(words: list[bytes], base=BASE) -> list[tuple[int, str]]:
 def scan_text(text: str | None) -> dict:
     raw = (text or "").encode()
     words = raw.translate(_WORDS).split()
-    places = base_places(words) if b"license" in raw.lower() else []
-    lowered = (text or "").translate(_LOWER) if not (text or "").isascii() else (text or "").lower()
+    lowered = raw.lower().decode()  # bytes have A-Z alone to lower
+    places = base_places(words) if "license" in lowered else []
     spans = detect(_SPACE.sub(" ", lowered)) if any(k in lowered for k in GATE) else []
     base = {label for _, label in places}
     doubt = 1.0
@@ -259,7 +195,11 @@ def scan_text(text: str | None) -> dict:
 GATE = (
     "permission", "mit", "expat", "x11", "isc", "bsd", "redistribution", "apache", "asl", "public", "gpl", "foundation",
     "license", "licence", "mpl", "epl", "cddl", "eupl", "ofl", "common", "unencumbered", "wtfpl", "cc", "rights", "confidential",
-    "copyright", "spdx", "ncsa", "do what", "mozilla",
+    "copyright", "spdx", "ncsa", "fuck", "mozilla", "portions", "neither", "advertising", "binary", "program", "altered", "agreement",
+    "fee", "openssl", "eric", "evil", "beer", "everyone", "anyone", "document", "terms", "php", "royalty", "jpeg", "freetype", "exception",
+    "autoconf", "bison", "llvm", "frameworx", "motosoto", "nasa", "suite", "ricoh", "industry", "watcom", "sleepycat", "latex", "cecill",
+    "mulan", "datagrid", "jersey", "xfree86", "zend", "w3c", "vera", "cnri", "dedication", "data", "cern", "tapr", "polyform", "rail",
+    "lizenz", "reproduced", "unauthorized", "shareware", "freeware", "classpath", "licen", "wxwindows", "redis", "oracle",
 )
 
 FIELDS = T.StructType(
