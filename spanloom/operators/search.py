@@ -154,8 +154,8 @@ def request_mode(request: dict, embed: Callable[[str], Sequence[float]] | None =
 
 
 def materialize(hits: DataFrame, spans: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Hits with their spans, rank kept; hits whose span is not visible drop out."""
-    return F.broadcast(hits).join(spans, list(key))
+    """Hits with their spans, rank kept; hits whose span is not visible drop out.  Spark broadcasts the hits if it finds them small."""
+    return hits.join(spans, list(key))
 
 
 #: Cells of the codebook, and how many of them a search opens.
