@@ -94,7 +94,9 @@ def bm25_from_postings(posted: DataFrame, lengths: DataFrame, query: str, key: S
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl"))
     scored = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))
-    return scored.groupBy(*key).agg(F.sum(idf * F.col("tf") * (K1 + 1) / norm).alias("score")).orderBy(F.col("score").desc(), *key).limit(k)
+    # a term's part is one row of a document; parts are added in the order of the terms, as ``bm25`` does, so equal documents tie exactly
+    parts = [F.coalesce(F.max(F.when(F.col("token") == t, idf * F.col("tf") * (K1 + 1) / norm)), F.lit(0.0)) for t in terms]
+    return scored.groupBy(*key).agg(sum(parts, F.lit(0.0)).alias("score")).orderBy(F.col("score").desc(), *key).limit(k)
 
 
 def substring_score(text: Column, query: str) -> Column:

@@ -127,3 +127,13 @@ def test_index_of_awkward_vectors(spark):
     assert [r.vec_id for r in index.search(index.index(df), [0.0, 1.0], ["vec_id"], 10).collect()] == [1, 5]
     empty = se.InvertedFile.fit(df.limit(0))
     assert empty.search(empty.index(df.limit(0)), [0.0, 1.0], ["vec_id"], 10).count() == 0
+
+
+def test_equal_documents_tie_in_postings(spark):
+    """Parts of a score are added in one order, so copies tie exactly and the scores are those of the direct search."""
+    docs = spark.createDataFrame([(i, "the apache license under the sun " + "word " * (i % 3)) for i in range(600)] + [(i, "apache sun") for i in range(600, 640)], "doc_id long, text string").repartition(7)
+    lengths = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("doc_len"))
+    query = "under the apache license sun"
+    got = se.bm25_from_postings(se.postings(docs, ["doc_id"]), lengths, query, ["doc_id"], 640).collect()
+    assert got == se.bm25(docs, query, ["doc_id"], 640).collect()
+    assert len({r.score for r in got}) == 4
