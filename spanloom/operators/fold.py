@@ -2,9 +2,10 @@
 
 Scalar fields take the last value that is not null in the order (seq, arrival); logs are the
 ordered union without repeats; attributes are merged key by key, later events winning.  All of
-it is one aggregation on (trace_id, span_id), so unused fields are pruned from the scan.  Events that
-are dealt by trace_id are folded where they are, and per-trace operators over the spans need no
-shuffle either; other events are summed up in part and shuffled by span.
+it is one window on (trace_id, span_id), so unused fields are pruned from the scan, and what is sorted
+are the events as they are: aggregation buffers of all fields are several times as wide, and every row
+has one.  Events that are dealt by trace_id are folded where they are, and per-trace operators over the
+spans need no shuffle either; other events are shuffled by span.
 """
 
 from __future__ import annotations
@@ -40,9 +41,18 @@ def first_value(column: str | Column, order: Column) -> Column:
     return F.min_by(c, F.when(c.isNotNull(), order))
 
 
+def _log_rows(order: Sequence[str]) -> Column:
+    """Aggregate: the logs of events with what orders them."""
+    return F.collect_list(F.when(F.col("logs").isNotNull(), F.struct(*order, "logs")))
+
+
+def _logs(rows: Column) -> Column:
+    many = F.flatten(F.transform(F.sort_array(rows), lambda x: x["logs"]))
+    return F.array_distinct(F.when(F.size(rows) == 1, F.get(rows, F.lit(0))["logs"]).otherwise(many))
+
+
 def merge_logs(order: Sequence[str] = ("seq", "_arrival")) -> Column:
-    rows = F.sort_array(F.collect_list(F.when(F.col("logs").isNotNull(), F.struct(*order, "logs"))))
-    return F.array_distinct(F.flatten(F.transform(rows, lambda x: x["logs"])))
+    return _logs(_log_rows(order))
 
 
 def last_wins(entries: Column) -> Column:
@@ -62,11 +72,18 @@ def last_wins(entries: Column) -> Column:
     return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(entries)).otherwise(F.map_from_entries(kept))
 
 
+def _attr_rows(order: Sequence[str]) -> Column:
+    """Aggregate: the attributes of events with what orders them."""
+    return F.collect_list(F.when(F.col("attrs").isNotNull(), F.struct(*order, F.map_entries("attrs").alias("e"))))
+
+
+def _attrs(rows: Column) -> Column:
+    many = last_wins(F.flatten(F.transform(F.sort_array(rows), lambda x: x["e"])))
+    return F.when(F.size(rows) == 1, F.map_from_entries(F.get(rows, F.lit(0))["e"])).otherwise(many)
+
+
 def merge_attrs(order: Sequence[str] = ("seq", "_arrival")) -> Column:
-    rows = F.sort_array(
-        F.collect_list(F.when(F.col("attrs").isNotNull(), F.struct(*order, F.map_entries("attrs").alias("e"))))
-    )
-    return last_wins(F.flatten(F.transform(rows, lambda x: x["e"])))
+    return _attrs(_attr_rows(order))
 
 
 def fold(events: DataFrame, patches: DataFrame | None = None, unique: bool = False, sort: bool = False) -> DataFrame:
@@ -84,17 +101,22 @@ def fold(events: DataFrame, patches: DataFrame | None = None, unique: bool = Fal
         events = events.withColumn("_arrival", F.lit(0).cast("long"))
     if not unique:
         events = deduplicate(events)
-    order = F.struct("seq", "_arrival")
-    spans = events.groupBy(*KEYS).agg(
-        *[last_value(c, order).alias(c) for c in SCALARS],
-        merge_logs().alias("logs"),
-        merge_attrs().alias("attrs"),
-        F.bool_or(F.col("event_type") == START).alias("has_start"),
-        F.bool_or(F.col("event_type") == END).alias("has_end"),
-        F.count("*").alias("event_count"),
-        F.min("ts").alias("min_ts"),
-        F.max("ts").alias("max_ts"),
+    order = ("seq", "_arrival")
+    placed = Window.partitionBy(*KEYS).orderBy(*order)
+    whole = placed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = events.select(
+        *KEYS,
+        *[F.last(c, ignorenulls=True).over(whole).alias(c) for c in SCALARS],
+        _log_rows(order).over(whole).alias("logs"),
+        _attr_rows(order).over(whole).alias("attrs"),
+        F.bool_or(F.col("event_type") == START).over(whole).alias("has_start"),
+        F.bool_or(F.col("event_type") == END).over(whole).alias("has_end"),
+        F.count("*").over(whole).alias("event_count"),
+        F.min("ts").over(whole).alias("min_ts"),
+        F.max("ts").over(whole).alias("max_ts"),
+        F.row_number().over(placed).alias("__n"),
     )
+    spans = found.where("__n = 1").drop("__n").withColumns({"logs": _logs(F.col("logs")), "attrs": _attrs(F.col("attrs"))})
     if patches is not None:
         spans = overlay(spans, patches)
     return spans.orderBy(*KEYS) if sort else spans
