@@ -190,8 +190,11 @@ def log_events(events: DataFrame, unique: bool = False) -> DataFrame:
     ``unique`` skips the de-duplication where the source guarantees single events.
     """
     once = events if unique else deduplicate(events)
-    named = once.where(F.size("logs") > 0).withColumn("event_id", event_id(F.col("ext_span_id"), F.col("seq"), F.col("event_type")))
-    order = Window.partitionBy("trace_id").orderBy("ts", "seq", unsigned_order(F.col("event_id")))
+    number = event_id(F.col("ext_span_id"), F.col("seq"), F.col("event_type"))
+    # the number decides among events of one time and sequence only; where it is not read, other events need no hash
+    tied = F.count("*").over(Window.partitionBy("trace_id", "ts", "seq")) > 1
+    named = once.where(F.size("logs") > 0).withColumn("__tied", tied).withColumn("event_id", number)
+    order = Window.partitionBy("trace_id").orderBy("ts", "seq", F.when(F.col("__tied"), unsigned_order(number)))
     return named.withColumn("place", (F.row_number().over(order) - 1).cast("long")).select(
         "trace_id", "span_id", "ts", "seq", "event_type", "ext_span_id", "event_id", "place", "logs"
     )
