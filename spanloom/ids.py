@@ -39,10 +39,12 @@ def unsigned(text: Column) -> Column:
     value = F.when(digits != "", digits).cast("decimal(20,0)")
     high = value > F.lit(str((1 << 63) - 1)).cast("decimal(20,0)")
     wrapped = (value - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)")
-    return (
+    plain = F.when(text.rlike(r"^\d{1,18}$"), text.cast("long"))  # most ids; no decimals are needed
+    return F.coalesce(
+        plain,
         F.when(value > F.lit(str((1 << 64) - 1)).cast("decimal(20,0)"), F.lit(None).cast("long"))
         .when(high, F.when(wrapped < F.lit(str(1 << 63)).cast("decimal(20,0)"), wrapped).cast("long").bitwiseXOR(F.lit(-(1 << 63))))
-        .otherwise(F.when(~high, value).cast("long"))
+        .otherwise(F.when(~high, value).cast("long")),
     )
 
 

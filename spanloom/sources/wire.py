@@ -22,7 +22,7 @@ RAW = T.StructType([*[T.StructField(c, _S) for c in _NAMES], T.StructField("logs
 
 
 def _required(column: Column, name: str) -> Column:
-    return F.when(column.isNotNull(), column).otherwise(F.raise_error(F.lit(f"missing or bad field {name}")))
+    return F.coalesce(column, F.raise_error(F.lit(f"missing or bad field {name}")))
 
 
 def _long(name: str) -> Column:

@@ -5,11 +5,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import fold as fo
+from spanloom.ids import unsigned
+from spanloom.operators import fold as fo, readmodels as rm
 from spanloom.plans import registry
 from spanloom.sources import tables
 
 from .conftest import SMALL
+from .helpers import events
 
 
 def plan(df):
@@ -41,3 +43,21 @@ def test_unread_fields_are_pruned(spark, column):
     p = plan(fo.fold(tables.trace_events(spark, SMALL), unique=True).select("trace_id", "span_id", column))
     assert "l_partkey" in p and "l_extendedprice" in p  # they number the events
     assert "collect_list" not in p and p.count("last(") <= 2
+
+
+def test_places_of_tied_log_events(spark):
+    """Ties of time and sequence go by the event's number, as unsigned; other events are placed without it."""
+    rows = [{"trace_id": 1, "span_id": s, "seq": q, "ts": 5, "logs": ["x"]} for q in (1, 2) for s in range(1, 9)] + [{"trace_id": 1, "span_id": 99, "seq": 3, "ts": 4, "logs": ["y"]}]
+    got = rm.log_events(events(spark, rows)).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(17)) and got[0].span_id == 99
+    assert [(r.ts, r.seq, r.event_id & (1 << 64) - 1) for r in got] == sorted((r.ts, r.seq, r.event_id & (1 << 64) - 1) for r in got)
+    hashed = plan(registry.QUERIES["log_event_places"](spark, SMALL))
+    assert re.search(r"CASE WHEN [^,]*(__tied|> 1)", hashed)
+
+
+def test_short_ids_need_no_decimals(spark):
+    """Ids of up to 18 digits are read as they are; longer and odd ones as before."""
+    want = {"0": 0, "007": 7, "+5": 5, "9" * 18: 10**18 - 1, "1" + "0" * 18: 10**18, str((1 << 64) - 1): -1, str(1 << 63): -(1 << 63), str(1 << 64): None, "-1": None, " 1": None, "": None, "x1": None}
+    df = spark.createDataFrame([(k,) for k in want], "t string").select("t", unsigned(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == want
+    assert r"^\d{1,18}$" in plan(df)
