@@ -54,6 +54,8 @@ ATTRS = ("loop_id", "task_fingerprint", "validation_status")
 _JOINS = "FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 #: Stored bytes of lines, some 150,000 of them, that one task numbers and folds.
 PART_BYTES = 2 << 20
+#: How many times as much a part holds before there are more parts than a shuffle writes without holding a task's rows in memory.
+PART_GROWTH = 12
 
 
 def _views(spark: SparkSession, sf_dir: str, *names: str) -> None:
@@ -73,9 +75,15 @@ def for_spark(sql: str) -> str:
 
 
 def _parts(lines: DataFrame) -> int:
-    """Parts that grow with the stored lines, so that a task's rows do not."""
+    """Parts that grow with the stored lines, so that a task's rows do not.
+
+    Up to a number of parts (200 unless configured), a task that deals rows writes them to their parts at once; for more
+    parts it keeps all rows of its split in memory, to sort them.  So at that number parts grow first, up to PART_GROWTH times.
+    """
+    context = lines.sparkSession.sparkContext
     size = int(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(lines.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    direct = int(context.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return max(context.defaultParallelism, min(direct, -(-size // PART_BYTES)), -(-size // (PART_BYTES * PART_GROWTH)))
 
 
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +93,8 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(lines)
     # dealt by trace once: numbering events, folding them and rolling spans up by trace need no other shuffle
     lines.repartition(parts, "l_orderkey").createOrReplaceTempView("lineitem")
-    buyers = spark.sql("SELECT o_orderkey, o_custkey, c_mktsegment, n_regionkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+    # customers are hashed: sorting the orders would hold more of them in a task the more there are
+    buyers = spark.sql("SELECT /*+ SHUFFLE_HASH(customer) */ o_orderkey, o_custkey, c_mktsegment, n_regionkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
     buyers.repartition(parts, "o_orderkey").createOrReplaceTempView("buyers")
     flat = spark.sql(for_spark(EVENTS))
     entries = F.filter(F.array(*[F.struct(F.lit(a).alias("key"), F.col(a).alias("value")) for a in ATTRS]), lambda e: e["value"].isNotNull())

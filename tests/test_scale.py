@@ -38,6 +38,26 @@ def test_parts_grow_with_the_lines(spark, monkeypatch):
     assert 40 <= tables.trace_events(spark, SMALL).rdd.getNumPartitions() <= 42
 
 
+@pytest.mark.parametrize("times, parts", [(50, 50), (400, 200), (2400, 200), (4800, 400)])
+def test_dealing_holds_no_rows_in_memory(spark, monkeypatch, times, parts):
+    """Up to 12 times 200 parts there are no more parts than a shuffle writes directly; beyond, they grow again."""
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    size = int(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    monkeypatch.setattr(tables, "PART_BYTES", size / times)
+    assert parts <= tables._parts(lines) <= parts + 1
+
+
+def test_customers_are_hashed(spark):
+    """Orders meet customers without a sort, which would hold more of the orders in one task the more there are."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")  # nation only
+    try:
+        p = plan(registry.QUERIES["retention_audit"](spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert re.search(r"ShuffledHashJoin \[o_custkey", p) and not re.search(r"Sort \[[oc]_custkey", p)
+
+
 @pytest.mark.parametrize("column", ["status", "agent_name"])
 def test_unread_fields_are_pruned(spark, column):
     p = plan(fo.fold(tables.trace_events(spark, SMALL), unique=True).select("trace_id", "span_id", column))
