@@ -58,6 +58,22 @@ def test_customers_are_hashed(spark):
     assert re.search(r"ShuffledHashJoin \[o_custkey", p) and not re.search(r"Sort \[[oc]_custkey", p)
 
 
+@pytest.mark.parametrize("name", ["trace_aggregate_fields"])
+def test_query_deals_lines_directly(spark, monkeypatch, name):
+    """A query deals its lines once, to no more parts than are written directly, and sorts no orders to find their customers."""
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    size = int(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    monkeypatch.setattr(tables, "PART_BYTES", size // 400)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        p = plan(registry.QUERIES[name](spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert re.findall(r"Exchange hashpartitioning\(l_orderkey#\w+, (\d+)\)", p) == ["200"]
+    assert not re.search(r"Sort \[[oc]_custkey", p)
+
+
 @pytest.mark.parametrize("column", ["status", "agent_name"])
 def test_unread_fields_are_pruned(spark, column):
     p = plan(fo.fold(tables.trace_events(spark, SMALL), unique=True).select("trace_id", "span_id", column))
