@@ -58,7 +58,7 @@ def test_customers_are_hashed(spark):
     assert re.search(r"ShuffledHashJoin \[o_custkey", p) and not re.search(r"Sort \[[oc]_custkey", p)
 
 
-@pytest.mark.parametrize("name", ["trace_aggregate_fields", "console_sessions_matching", "trace_trajectories", "turns"])
+@pytest.mark.parametrize("name", ["trace_aggregate_fields", "console_sessions_matching", "trace_trajectories", "turns", "sessions_page"])
 def test_query_deals_lines_directly(spark, monkeypatch, name):
     """A query deals its lines once, to no more parts than are written directly, and sorts no orders to find their customers."""
     lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
