@@ -251,8 +251,11 @@ def trace_summaries(spans: DataFrame) -> DataFrame:
     return spans.groupBy("trace_id").agg(trace_status().alias("status"), F.count("*").alias("span_count"), *durations(), *token_sums())
 
 
-def session_timeline(spans: DataFrame) -> DataFrame:
-    """Turns of each session: its traces in order, with the first input and the last answer."""
+def session_timeline(spans: DataFrame, parts: int | None = None) -> DataFrame:
+    """Turns of each session: its traces in order, with the first input and the last answer.
+
+    ``parts`` are those in which sessions meet, where they should grow with the input; Spark's own number otherwise.
+    """
     turns = spans.where("session_id is not null").groupBy("session_id", "trace_id").agg(
         F.min_by("input_text", F.when(F.col("input_text").isNotNull(), F.col("span_id"))).alias("input_text"),
         F.max_by(F.struct("output_text", "eval_score"), F.when(F.col("output_text").isNotNull(), F.col("span_id"))).alias("answer"),
@@ -262,6 +265,8 @@ def session_timeline(spans: DataFrame) -> DataFrame:
         F.sum(F.coalesce("duration_ns", F.lit(0))).alias("total_duration_ns"),
         *token_sums(),
     )
+    if parts is not None:
+        turns = turns.repartition(parts, "session_id")
     order = Window.partitionBy("session_id").orderBy("trace_id")
     return turns.withColumn("turn", (F.row_number().over(order) - 1).cast("long")).select(
         "session_id", "trace_id", "turn", "input_text", F.col("answer.output_text").alias("answer"),

@@ -286,7 +286,7 @@ _TIMELINE = (
 
 @query(_TIMELINE)
 def session_timeline(spark, d):
-    return rm.session_timeline(folded(spark, d)).drop("eval_score").withColumn("agents", F.array_join("agents", "|"))
+    return rm.session_timeline(folded(spark, d), tables.parts(spark, d)).drop("eval_score").withColumn("agents", F.array_join("agents", "|"))
 
 
 @query(
@@ -294,7 +294,7 @@ def session_timeline(spark, d):
     f"total_duration_ns // 1000000 AS dur_ms, CASE WHEN error_count > 0 THEN 'error' ELSE 'ok' END AS status FROM ({_TIMELINE})"
 )
 def turns(spark, d):
-    return rm.turns(rm.session_timeline(folded(spark, d)))
+    return rm.turns(rm.session_timeline(folded(spark, d), tables.parts(spark, d)))
 
 
 @query(

@@ -70,7 +70,7 @@ def for_duckdb(sql: str) -> str:
 def for_spark(sql: str) -> str:
     """Orders meet their customers before the lines do, so that lines are dealt once, by their order."""
     assert _JOINS in sql
-    sql = sql.replace(_JOINS, "FROM lineitem l JOIN buyers ON l_orderkey = o_orderkey").replace("SELECT l.*, l_orderkey", "SELECT /*+ SHUFFLE_HASH(buyers) */ l.*, l_orderkey")
+    sql = sql.replace(_JOINS, "FROM lineitem l JOIN buyers ON l_orderkey = bought").replace("SELECT l.*, l_orderkey", "SELECT /*+ SHUFFLE_HASH(buyers) */ l.*, l_orderkey")
     return sql.replace("{days}", SPARK["days"].format("l_shipdate")).replace("span_id // 2", "span_id DIV 2")
 
 
@@ -86,6 +86,11 @@ def _parts(lines: DataFrame) -> int:
     return max(context.defaultParallelism, min(direct, -(-size // PART_BYTES)), -(-size // (PART_BYTES * PART_GROWTH)))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """Parts of the order lines, also for what is shuffled of them again."""
+    return _parts(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Span events of the order lines."""
     _views(spark, sf_dir, "orders", "customer", "nation")
@@ -95,7 +100,8 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines.repartition(parts, "l_orderkey").createOrReplaceTempView("lineitem")
     # customers are hashed: sorting the orders would hold more of them in a task the more there are
     buyers = spark.sql("SELECT /*+ SHUFFLE_HASH(customer) */ o_orderkey, o_custkey, c_mktsegment, n_regionkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
-    buyers.repartition(parts, "o_orderkey").createOrReplaceTempView("buyers")
+    # renamed: where both sides of a join are nothing but shuffles, Spark raises their parts to spark.sql.shuffle.partitions
+    buyers.repartition(parts, "o_orderkey").withColumnRenamed("o_orderkey", "bought").createOrReplaceTempView("buyers")
     flat = spark.sql(for_spark(EVENTS))
     entries = F.filter(F.array(*[F.struct(F.lit(a).alias("key"), F.col(a).alias("value")) for a in ATTRS]), lambda e: e["value"].isNotNull())
     return flat.withColumns(

@@ -74,6 +74,23 @@ def test_query_deals_lines_directly(spark, monkeypatch, name):
     assert not re.search(r"Sort \[[oc]_custkey", p)
 
 
+@pytest.mark.parametrize("name", ["turns", "session_timeline"])
+@pytest.mark.parametrize("shuffle_partitions", ["4", "600"])
+def test_parts_do_not_follow_shuffle_partitions(spark, monkeypatch, name, shuffle_partitions):
+    """Lines are dealt, and sessions meet, in as many parts as the input asks for, be shuffles of fewer parts or of more."""
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    size = int(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    monkeypatch.setattr(tables, "PART_BYTES", size // 400)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", shuffle_partitions)
+    try:
+        p = plan(registry.QUERIES[name](spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for key in ("l_orderkey", "o_orderkey", "session_id"):
+        assert re.findall(rf"Exchange hashpartitioning\({key}#\w+, (\d+)\)", p) == ["200"]
+
+
 @pytest.mark.parametrize("column", ["status", "agent_name"])
 def test_unread_fields_are_pruned(spark, column):
     p = plan(fo.fold(tables.trace_events(spark, SMALL), unique=True).select("trace_id", "span_id", column))
